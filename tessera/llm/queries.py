@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import media, mixing, packing, urlfilter, warc
+from tessera.llm import media, minhash, mixing, packing, urlfilter, warc
 
 MODULES = {
     "op3_mix_sources": mixing,
     "op6_media_columns": media,
+    "op7_minhash_near_dedup": minhash,
     "op8_warc_archives": warc,
     "op9_url_filter": urlfilter,
     "op10_best_fit_packing": packing,
