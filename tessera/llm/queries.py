@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import media, minhash, mixing, packing, urlfilter, warc
+from tessera.llm import media, minhash, mixing, packing, substring, urlfilter, warc
 
 MODULES = {
     "op3_mix_sources": mixing,
+    "op5_substring_dedup": substring,
     "op6_media_columns": media,
     "op7_minhash_near_dedup": minhash,
     "op8_warc_archives": warc,
