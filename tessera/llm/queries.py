@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import media, minhash, mixing, packing, substring, urlfilter, warc
+from tessera.llm import media, minhash, mixing, packing, substring, urlfilter, vectors, warc
 
 MODULES = {
+    "op2_embedding_near_dedup": vectors,
     "op3_mix_sources": mixing,
     "op5_substring_dedup": substring,
     "op6_media_columns": media,
