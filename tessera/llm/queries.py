@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import media, minhash, mixing, packing, substring, urlfilter, vectors, warc
+from tessera.llm import media, minhash, mixing, packing, substring, toxicity, urlfilter, vectors, warc
 
 MODULES = {
     "op2_embedding_near_dedup": vectors,
     "op3_mix_sources": mixing,
+    "op4_toxicity": toxicity,
     "op5_substring_dedup": substring,
     "op6_media_columns": media,
     "op7_minhash_near_dedup": minhash,
