@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import media, minhash, mixing, packing, substring, toxicity, urlfilter, vectors, warc
+from tessera.llm import media, minhash, mixing, packing, quality, substring, toxicity, urlfilter, vectors, warc
 
 MODULES = {
+    "op1_quality_cotraining": quality,
     "op2_embedding_near_dedup": vectors,
     "op3_mix_sources": mixing,
     "op4_toxicity": toxicity,
