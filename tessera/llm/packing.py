@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into sequences.
 
 Tokenising: the vocabulary's words never cross white space, so a text's ids are the ids of its chunks, and a
-bounded memo of chunks spares most of the work; texts with rarer white space than the usual four go to the tokenizer whole.
+bounded memo of words spares much of the work; texts with rarer white space than the usual four go to the tokenizer whole.
 
 Packing: pieces are dealt by hash to bins of bounded size, several thousand pieces each, and each bin is packed by
 vector best-fit decreasing: a sequence has capacities of tokens, documents and attention cost (sum of squared lengths),
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,30 +41,67 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Ids(dict):
-    """Chunk -> little-endian 32-bit ids, filled on demand and emptied when large."""
+_SIMPLE = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, most: int = 400_000):
+
+class Ids:
+    """Ids of texts, a batch at a time, with a memo of words emptied when large.
+
+    Most chunks (runs without white space) are letters with punctuation after them: two words to the tokenizer. The lower-cased letters of a
+    batch's new ones are encoded together, and told apart by the ids that end a word.
+    """
+
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
-        if len(self) >= self.most:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        """The ids of a whole text."""
-        if _RARE_SPACE.search(text):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+    def learn(self, words: list[str]) -> None:
+        """Add words of letters alone to the memo, many in one text."""
+        for at in range(0, len(words), 4096):
+            parts = [words[i : i + 256] for i in range(at, min(at + 4096, len(words)), 256)]
+            for part, got in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+                ids = np.array(got.ids, "<u4")
+                cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+                if len(cuts) == len(part):
+                    data = ids.tobytes()
+                    self.words.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+                else:
+                    self.words.update((w, self.encode(w)) for w in part)
+
+    def of_chunks(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of each chunk."""
+        out: dict[str, bytes] = {}
+        simple, words, marked = [], set(), set()
+        for chunk in chunks:
+            m = _SIMPLE.fullmatch(chunk) if len(chunk) <= 64 else None
+            if m:
+                word, marks = m[1].lower(), m[2]
+                simple.append((chunk, word, marks))
+                words.add(word)
+                marked.add(marks)
+            else:
+                out[chunk] = self.encode(chunk)
+        if len(self.words) + len(words) > self.most:
+            self.words = {}
+        self.learn(sorted(words - self.words.keys()))
+        known, after = self.words, {marks: self.encode(marks) if marks else b"" for marks in marked}
+        out.update((chunk, known[word] + after[marks] if marks else known[word]) for chunk, word, marks in simple)
+        return out
+
+    def of_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        cut = [None if _RARE_SPACE.search(t) else t.split() for t in texts]
+        get = self.of_chunks(set().union(*(x for x in cut if x))).__getitem__
+        for text, chunks in zip(texts, cut):
+            yield self.encode(text) if chunks is None else b"".join(map(get, chunks))
 
 
 def tokenize(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -76,14 +114,21 @@ def tokenize(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAP
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Ids(path)
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = memo.of(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    for column, v in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part)):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:  # some 4 MB of text at a time
+                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + (1 << 22), "right")))
+                part_of = batch.slice(lo, hi - lo)
+                texts = [t or "" for t in part_of.column(1).to_pylist()]
+                out: list[list] = [[] for _ in names]
+                for doc_id, data in zip(part_of.column(0).to_pylist(), memo.of_all(texts)):
+                    data += end
+                    for k, at in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[at : at + 4 * capacity]
+                        for column, v in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part)):
+                            column.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
+                lo = hi
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 

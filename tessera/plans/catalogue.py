@@ -1,11 +1,638 @@
-"""The named queries over the driver's tables, with their DuckDB equivalents."""
+"""The named queries over the driver's tables, with their DuckDB equivalents.
+
+Most read an index that is built once per session and input into the shared folder, as range-partitioned Parquet.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import codecs as C
+from tessera.functions import numeric as N
+from tessera.functions import stemmers
+from tessera.functions import text as T
+from tessera.operators import boolean, evaluation, graph, index, langid, laws, ranking, skips, web
+from tessera.plans.sql import ORACLES, PAGERANK_ROUNDS, TOPICS
+from tessera.storage import materialize, shared_dir
+
+_built: dict[tuple[str, str, str], dict[str, DataFrame]] = {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Register a query under its function's name."""
+    _QUERIES[fn.__name__] = fn
+    return fn
+
+
+def words(column: str = "text"):
+    """The default analysis: Spanish-letter words of 2 to 23 letters."""
+    return T.analyzed(T.letter_words(F.col(column)))
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's tables."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The index of ``documents`` in the shared folder: postings, vocab, doc_stats, collection, and norms; built on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, shared_dir(spark))
+    if key not in _built:
+        docs = read(spark, sf_dir, "documents")
+        path = f"{shared_dir(spark)}/index-{abs(hash(key)):x}"
+        index.write_index(index.postings_of(docs, words()), docs, path)
+        tables = index.read_index(spark, path)
+        n = docs.count()
+        for name, weight, idf in (("norms_log2", N.raw_tf, N.idf_log2), ("norms_ln", N.log_tf, N.idf_ln)):
+            weighted = index.tf_idf(tables["postings"], tables["vocab"], F.lit(n), weight, idf)
+            index.doc_norms(weighted).write.mode("overwrite").parquet(f"{path}/{name}")
+            tables[name] = spark.read.parquet(f"{path}/{name}")
+        _built[key] = tables
+    return _built[key]
+
+
+def n_docs(spark: SparkSession, sf_dir: str):
+    """Number of documents as a literal; a Parquet count reads footers alone."""
+    return F.lit(read(spark, sf_dir, "documents").count())
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    """``df`` with some columns rounded."""
+    return df.withColumns({c: F.round(c, digits) for c in names})
+
+
+# --- lexical analysis ---
+
+
+@query
+def term_stats(spark, d):
+    return stored(spark, d)["vocab"].select("term", "df", "cf", "cf_as_coded")
+
+
+@query
+def lexicon(spark, d):
+    return stored(spark, d)["vocab"].select("term", "df", "cf", "max_tf")
+
+
+@query
+def top10_terms(spark, d):
+    return stored(spark, d)["vocab"].orderBy(F.desc("cf"), "term").limit(10).select("term", "cf")
+
+
+@query
+def bottom10_terms(spark, d):
+    return stored(spark, d)["vocab"].orderBy("cf", F.desc("term")).limit(10).select("term", "cf")
+
+
+@query
+def corpus_stats(spark, d):
+    return rounded(index.corpus_statistics(read(spark, d, "documents"), stored(spark, d)["postings"]), "mean_tokens", "mean_terms", "mean_term_length")
+
+
+@query
+def collection_stats(spark, d):
+    return rounded(index.collection(read(spark, d, "documents"), stored(spark, d)["postings"]), "avg_dl")
+
+
+@query
+def hapax(spark, d):
+    return stored(spark, d)["vocab"].where("cf = 1").select("term")
+
+
+@query
+def vocabulary_without_singletons(spark, d):
+    return stored(spark, d)["vocab"].where("df <> 1").select("term", "df")
+
+
+@query
+def stopword_filtered_terms(spark, d):
+    w = T.analyzed(T.letter_words(F.col("text")), T.STOP_WORDS)
+    return index.postings_of(read(spark, d, "documents"), w).groupBy("term").agg(F.sum("tf").alias("cf"))
+
+
+@query
+def plain_tokens(spark, d):
+    return index.postings_of(read(spark, d, "documents"), T.plain_words(F.col("text"))).groupBy("term").agg(F.sum("tf").alias("cf"))
+
+
+@query
+def english_tokens(spark, d):
+    return index.postings_of(read(spark, d, "documents"), T.letter_words(F.col("text"), T.ENGLISH)).groupBy("term").agg(F.sum("tf").alias("cf"))
+
+
+@query
+def typed_tokens(spark, d):
+    w = T.analyzed(T.typed_tokens(F.col("text")))
+    return index.postings_of(read(spark, d, "documents"), w).groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+
+
+@query
+def typed_token_kinds(spark, d):
+    tokens = read(spark, d, "documents").select(F.explode(T.typed_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return tokens.select(T.token_kind(F.col("term")).alias("kind"), "n").groupBy("kind").agg(F.sum("n").alias("n"))
+
+
+@query
+def stemmer_comparison(spark, d):
+    return stemmers.compare(stored(spark, d)["vocab"].where(F.col("term").rlike("^[a-z]+$")))
+
+
+@query
+def spanish_stem_stats(spark, d):
+    postings = stored(spark, d)["postings"]
+    return index.stem_statistics(postings, stemmers.stem_map(stored(spark, d)["vocab"], "spanish"))
+
+
+@query
+def page_text(spark, d):
+    return read(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
+
+
+@query
+def page_text_nodes(spark, d):
+    return read(spark, d, "pages").select("page_id", T.html_text_nodes("html").alias("text"))
+
+
+@query
+def url_labels(spark, d):
+    u = F.col("url")
+    return read(spark, d, "pages").select("page_id", T.short_label(u, 40).alias("label"), T.name_of_path(web.path(u)).alias("name"))
+
+
+# --- index ---
+
+
+@query
+def inverted_index(spark, d):
+    lists = index.inverted_lists(stored(spark, d)["postings"])
+    return lists.select("term", "df", F.concat_ws(",", F.col("docid").cast("array<string>")).alias("docids"), F.concat_ws(",", F.col("freq").cast("array<string>")).alias("freqs"))
+
+
+@query
+def tf_idf_weights(spark, d):
+    t = stored(spark, d)
+    return rounded(index.tf_idf(t["postings"], t["vocab"], n_docs(spark, d)).select("term", "doc_id", "weight"), "weight")
+
+
+@query
+def doc_norms(spark, d):
+    return rounded(stored(spark, d)["norms_ln"].select("doc_id", "norm"), "norm")
+
+
+@query
+def vocab_seek(spark, d):
+    tokens = index.tokens(read(spark, d, "documents"), words())
+    ids = index.term_ids(tokens)
+    return index.seeks(ids.join(stored(spark, d)["vocab"].select("term", "df"), "term")).select("term", "term_id", "df", "seek")
+
+
+@query
+def posting_lookup(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", F.col("source").alias("name"))
+    return index.posting_lookup(stored(spark, d)["postings"], docs, "thing")
+
+
+@query
+def block_sort_chunks(spark, d):
+    return index.block_sort_chunks(stored(spark, d)["postings"], 20_000).groupBy("chunk").agg(F.count("*").alias("n_docs"))
+
+
+@query
+def df_distribution(spark, d):
+    return index.df_distribution(stored(spark, d)["vocab"])
+
+
+@query
+def df_histogram(spark, d):
+    return rounded(index.histogram(stored(spark, d)["vocab"], "df", 50), "lo", "hi")
+
+
+@query
+def index_overhead(spark, d):
+    size = read(spark, d, "documents").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()[0]
+    return rounded(index.index_sizes(stored(spark, d)["vocab"], F.lit(size)), "overhead_percent")
+
+
+# --- boolean retrieval ---
+
+
+def _boolean(name: str, text: str) -> None:
+    def run(spark, d):
+        return boolean.evaluate(stored(spark, d)["postings"], read(spark, d, "documents"), text)
+
+    run.__name__ = name
+    query(run)
+
+
+for _name, _text in {
+    "bool_and": "(ther AND thing)", "bool_or": "(ther OR thing)", "bool_and_not": "(the AND NOT thing)", "bool_not": "(NOT the)",
+    "bool_nested": "((ther AND thing) OR (an AND NOT (the OR NOT der)))", "bool_left_to_right": "the OR der AND thing",
+}.items():
+    _boolean(_name, _text)
+
+
+def _log(spark, d, n: int) -> DataFrame:
+    terms = F.slice(words(), 1, n)
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), terms.alias("terms"))
+
+
+def _batch(pattern: str, n: int) -> None:
+    def run(spark, d):
+        return boolean.batch(stored(spark, d)["postings"], _log(spark, d, n), pattern)
+
+    run.__name__ = f"batch_{pattern}"
+    query(run)
+
+
+for _pattern in boolean.PATTERNS:
+    _batch(_pattern, 2 if _pattern in ("and", "or", "and_not") else 3)
+
+
+@query
+def skip_blocks(spark, d):
+    return skips.skip_blocks(stored(spark, d)["postings"])
+
+
+@query
+def skip_and_counts(spark, d):
+    return skips.skip_and(stored(spark, d)["postings"], "thing", "the")
+
+
+@query
+def skip_listing(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", F.col("source").alias("name"))
+    return skips.skip_listing(stored(spark, d)["postings"], docs, "the")
+
+
+# --- ranking ---
+
+
+def _topics(spark, d) -> DataFrame:
+    items = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("query"))
+    return ranking.query_terms(items.withColumnRenamed("query", "text"), F.slice(words(), 1, 6))
+
+
+def _fixed_topics(spark) -> DataFrame:
+    return ranking.query_terms(spark.createDataFrame(TOPICS, "qid string, text string"), words())
+
+
+def _hits(spark, d, topics: DataFrame) -> DataFrame:
+    t = stored(spark, d)
+    return ranking.matches(t["postings"], topics, t["vocab"], n_docs(spark, d))
+
+
+def _with_lengths(spark, d, topics: DataFrame) -> DataFrame:
+    t = stored(spark, d)
+    return ranking.with_lengths(_hits(spark, d, topics), t["doc_stats"], t["collection"])
+
+
+@query
+def daat_cosine_topk(spark, d):
+    topic = ranking.query_terms(spark.createDataFrame([("q", "ther thing the")], "qid string, text string"), words())
+    t = stored(spark, d)
+    return ranking.cosine_topk(_hits(spark, d, topic), t["norms_log2"], topic, t["vocab"], n_docs(spark, d), 10)
+
+
+@query
+def vsm_rank(spark, d):
+    return ranking.top(ranking.vsm(_hits(spark, d, _topics(spark, d)), stored(spark, d)["norms_ln"]), 10)
+
+
+@query
+def taat_count(spark, d):
+    return ranking.count_scores(_hits(spark, d, _topics(spark, d)), "taat", 20)
+
+
+@query
+def daat_count(spark, d):
+    return ranking.count_scores(_hits(spark, d, _topics(spark, d)), "daat", 20)
+
+
+@query
+def query_length_stats(spark, d):
+    hits = _hits(spark, d, _topics(spark, d)).groupBy("qid").agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"))
+    return hits.groupBy("terms").agg(F.count("*").alias("n"), F.round(F.avg("postings"), 6).alias("mean_postings"), F.min("postings").alias("min_postings"), F.max("postings").alias("max_postings"), F.round(F.coalesce(F.stddev_samp("postings"), F.lit(0.0)), 4).alias("std_postings"))
+
+
+def _model(name: str, weight: Callable) -> None:
+    def run(spark, d):
+        return ranking.weighted(_with_lengths(spark, d, _topics(spark, d)), weight(), 10)
+
+    run.__name__ = name
+    query(run)
+
+
+MODELS = {"tf_sum": ranking.tf_weight, "tf_idf_robertson": ranking.robertson_tf_idf, "bm25": ranking.bm25, "hiemstra_lm": ranking.hiemstra, "dirichlet_lm": ranking.dirichlet}
+for _name, _weight in MODELS.items():
+    _model(_name, _weight)
+
+
+# --- evaluation: fixed topics, one per language; documents of that language are relevant ---
+
+
+def _runs(spark, d) -> DataFrame:
+    return materialize(ranking.systems(_with_lengths(spark, d, _fixed_topics(spark)), {k: MODELS[k]() for k in ("bm25", "dirichlet_lm")}, 50), "runs")
+
+
+def _qrels(spark, d) -> DataFrame:
+    langs = spark.createDataFrame([(q, lang) for q, lang in zip((q for q, _ in TOPICS), ("en", "de", "es", "fr"))], "qid string, lang string")
+    return read(spark, d, "documents").select("doc_id", "lang").join(F.broadcast(langs), "lang").select("qid", "doc_id", F.lit(1).alias("label"))
+
+
+_NAMES = ["ap", "p_cut", "r_cut", "r_precision", "p_half_recall", "rr", "ndcg_cut", "ndcg", "recall"]
+
+
+@query
+def pr_at_rank(spark, d):
+    points = evaluation.at_rank(_runs(spark, d), _qrels(spark, d))
+    return rounded(points.select("name", "qid", F.col("rank").cast("long").alias("rank"), F.col("rel").cast("long").alias("rel"), "precision", "recall"), "precision", "recall")
+
+
+@query
+def interp_11pt(spark, d):
+    return rounded(evaluation.interpolated(evaluation.at_rank(_runs(spark, d), _qrels(spark, d)), ["name", "qid"]), "precision", "level")
+
+
+@query
+def interp_11pt_mean(spark, d):
+    per = evaluation.interpolated(evaluation.at_rank(_runs(spark, d), _qrels(spark, d)), ["name", "qid"])
+    return rounded(per.groupBy("name", F.round("level", 6).alias("level")).agg(F.avg("precision").alias("precision")), "precision")
+
+
+@query
+def per_query_measures(spark, d):
+    return rounded(evaluation.measures(_runs(spark, d), _qrels(spark, d)).select("name", "qid", *_NAMES), *_NAMES)
+
+
+@query
+def map_p10_ndcg10(spark, d):
+    return rounded(evaluation.means(evaluation.measures(_runs(spark, d), _qrels(spark, d)), ["ap", "p_cut", "ndcg_cut"]), "ap", "p_cut", "ndcg_cut")
+
+
+@query
+def per_query_pivot(spark, d):
+    rows = evaluation.long_form(evaluation.measures(_runs(spark, d), _qrels(spark, d)), ["ap", "p_cut", "ndcg_cut"])
+    return rounded(evaluation.wide_form(rows, ["ap", "p_cut", "ndcg_cut"]), "ap", "p_cut", "ndcg_cut")
+
+
+@query
+def interp_across_queries(spark, d):
+    per = evaluation.measures(_runs(spark, d), _qrels(spark, d)).select("name", F.col("p_cut").alias("precision"), F.col("r_cut").alias("recall"))
+    return rounded(evaluation.interpolated(per, ["name"]), "precision", "level")
+
+
+@query
+def metric_histogram(spark, d):
+    return rounded(index.histogram(evaluation.measures(_runs(spark, d), _qrels(spark, d)).select(F.round("ap", 9).alias("ap")), "ap", 10), "lo", "hi")
+
+
+@query
+def ranking_agreement(spark, d):
+    runs = _runs(spark, d)
+    return rounded(evaluation.compare_rankings(runs.where("name = 'bm25'"), runs.where("name = 'dirichlet_lm'"), 10), "overlap", "spearman")
+
+
+# --- laws ---
+
+
+def _ranks(spark, d) -> DataFrame:
+    return laws.ranked(stored(spark, d)["vocab"])
+
+
+@query
+def frequency_ranks(spark, d):
+    return _ranks(spark, d)
+
+
+@query
+def zipf_fit(spark, d):
+    return rounded(laws.zipf_fit(_ranks(spark, d)), "alpha", "c", digits=3)
+
+
+@query
+def zipf_coverage(spark, d):
+    return rounded(laws.coverage(_ranks(spark, d)).select("term", "rank", "share", "model_share"), "share", "model_share")
+
+
+@query
+def zipf_thresholds(spark, d):
+    return laws.thresholds(laws.coverage(_ranks(spark, d)))
+
+
+@query
+def vocab_pruning(spark, d):
+    return rounded(laws.pruning(laws.coverage(_ranks(spark, d)), T.STOP_WORDS), "stop_percent")
+
+
+@query
+def heaps_samples(spark, d):
+    return laws.heaps_samples(read(spark, d, "documents"), T.letter_words(F.col("text")))
+
+
+@query
+def heaps_fit(spark, d):
+    return rounded(laws.heaps_fit(laws.heaps_samples(read(spark, d, "documents"), T.letter_words(F.col("text")))), "k", "b", digits=4)
+
+
+@query
+def heaps_anchored(spark, d):
+    return rounded(laws.heaps_anchored(laws.heaps_samples(read(spark, d, "documents"), T.letter_words(F.col("text")))), "k")
+
+
+# --- language identification: trained on even documents, tested on odd ones, all of each ---
+
+
+def _train(spark, d) -> DataFrame:
+    return read(spark, d, "documents").where("doc_id % 2 = 0").select("lang", "text")
+
+
+def _test(spark, d) -> DataFrame:
+    return read(spark, d, "documents").where("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), "text")
+
+
+@query
+def letter_profile(spark, d):
+    return rounded(langid.profile(read(spark, d, "documents").select("lang", "text"), "lang"), "freq", digits=9)
+
+
+@query
+def langid_corr(spark, d):
+    return rounded(langid.by_correlation(_train(spark, d), _test(spark, d)), "score")
+
+
+@query
+def bigram_matrix(spark, d):
+    return rounded(langid.transitions(_train(spark, d)), "p", digits=9)
+
+
+@query
+def langid_chain(spark, d):
+    scores = langid.chain_scores(_train(spark, d), _test(spark, d))
+    return rounded(langid.by_chain(scores), "score", digits=3)
+
+
+@query
+def langid_accuracy(spark, d):
+    gold = read(spark, d, "documents").where("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), "lang")
+    return rounded(langid.accuracy(langid.by_correlation(_train(spark, d), _test(spark, d)), gold), "percent")
+
+
+# --- compression ---
+
+
+@query
+def dgaps(spark, d):
+    return C.with_gaps(stored(spark, d)["postings"]).select("term", "doc_id", "gap")
+
+
+@query
+def codec_sizes(spark, d):
+    g = C.with_gaps(stored(spark, d)["postings"])
+    per = g.groupBy("term").agg(F.sum(C.vbyte_size(F.col("doc_id"))).alias("plain"), F.sum(C.vbyte_size(F.col("gap"))).alias("gapped"), F.ceil(F.sum(C.gamma_bits(F.col("tf"))) / 8).alias("freqs"), (F.count("*") * 8).alias("raw"))
+    total = per.agg(*[F.sum(c).alias(c) for c in ("raw", "plain", "gapped", "freqs")])
+    return total.select("raw", "plain", "gapped", "freqs", F.round(N.ratio(F.col("raw"), F.col("gapped") + F.col("freqs")), 6).alias("ratio"), F.round(N.saving(F.col("raw"), F.col("gapped") + F.col("freqs")), 6).alias("saving"))
+
+
+@query
+def codec_roundtrip(spark, d):
+    packed = C.compress_index(index.inverted_lists(stored(spark, d)["postings"]))
+    back = C.decompress_index(packed).select("term", F.explode(F.arrays_zip("docid", "freq")).alias("p"))
+    return back.select("term", F.col("p.docid").alias("doc_id"), F.col("p.freq").alias("tf"))
+
+
+# --- web ---
+
+
+@query
+def page_links(spark, d):
+    return web.page_links(read(spark, d, "pages")).select("page_id", F.col("pos").cast("long").alias("pos"), "href")
+
+
+@query
+def normalized_links(spark, d):
+    pages = read(spark, d, "pages")
+    links = web.page_links(pages).join(pages.select("page_id", "url"), "page_id")
+    return links.select("page_id", F.col("pos").cast("long").alias("pos"), web.normalize_expression(F.col("url"), F.col("href")).alias("target"))
+
+
+@query
+def url_parts(spark, d):
+    u = F.col("url")
+    return read(spark, d, "pages").select("page_id", web.host(u).alias("host"), web.physical_depth(u).cast("long").alias("depth"), web.page_kind(u).alias("kind"))
+
+
+@query
+def page_kind_dist(spark, d):
+    return rounded(graph.share_by_kind(read(spark, d, "pages").select(web.page_kind(F.col("url")).alias("kind")), "kind"), "percent")
+
+
+@query
+def depth_dist(spark, d):
+    return rounded(graph.share_by_kind(read(spark, d, "pages").select(web.physical_depth(F.col("url")).cast("long").alias("depth")), "depth"), "percent")
+
+
+@query
+def pages_per_host(spark, d):
+    return read(spark, d, "pages").groupBy(web.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query
+def first_pages_per_host(spark, d):
+    from pyspark.sql import Window
+
+    rows = read(spark, d, "pages").select("page_id", web.host(F.col("url")).alias("host"))
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("host").orderBy("page_id")).cast("long")).where("nth <= 20")
+
+
+def _edges(spark, d) -> DataFrame:
+    pages = read(spark, d, "pages")
+    links = web.page_links(pages).join(pages.select("page_id", "url"), "page_id")
+    return links.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("src"), "pos", F.concat(web.host(F.col("url")), F.col("href")).alias("dst"))
+
+
+@query
+def pagerank_k(spark, d):
+    return rounded(graph.pagerank(_edges(spark, d), rounds=PAGERANK_ROUNDS, tolerance=None), "pagerank", digits=9)
+
+
+def _trade(spark, d) -> DataFrame:
+    """Nations that buy from nations: a dense graph of 25 nodes."""
+    sold = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(read(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    buyers = read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("src"))
+    sellers = read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst"))
+    return sold.join(buyers, F.col("o_custkey") == F.col("c_custkey")).join(sellers, F.col("l_suppkey") == F.col("s_suppkey")).where("src < dst OR (src + dst) % 3 = 0").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
+
+
+@query
+def pagerank_trade(spark, d):
+    return rounded(graph.pagerank(_trade(spark, d), damping=0.5, rounds=PAGERANK_ROUNDS, tolerance=None), "pagerank", digits=9)
+
+
+@query
+def hits_k(spark, d):
+    return rounded(graph.hits(_trade(spark, d), rounds=PAGERANK_ROUNDS, tolerance=None), "hub", "authority", digits=9)
+
+
+@query
+def crawled_graph(spark, d):
+    edges = _trade(spark, d)
+    return graph.crawled_graph(edges, graph.nodes_of(edges).where("CAST(node AS int) % 2 = 0"))
+
+
+def _scored(spark, d) -> DataFrame:
+    edges = _trade(spark, d)
+    ranks, both = graph.pagerank(edges, rounds=PAGERANK_ROUNDS, tolerance=None), graph.hits(edges, rounds=PAGERANK_ROUNDS, tolerance=None)
+    return ranks.join(both, "node").select("node", F.col("node").cast("int").alias("fifo"), "pagerank", "authority")
+
+
+@query
+def crawl_overlap(spark, d):
+    return rounded(graph.crawl_curves(_scored(spark, d), 10).select("strategy", "position", "overlap"), "overlap")
+
+
+@query
+def pages_needed(spark, d):
+    return graph.pages_needed(graph.crawl_curves(_scored(spark, d), 10), 50.0)
+
+
+@query
+def crawl_report(spark, d):
+    nodes = materialize(_scored(spark, d), "scored")
+    return rounded(graph.crawl_report(graph.crawl_curves(nodes, 10), nodes, 10), "auc", "jaccard", "pearson")
+
+
+@query
+def rerank_alpha(spark, d):
+    nodes = _scored(spark, d)
+    return rounded(graph.rerank(nodes.select("node", F.col("authority").alias("score")), nodes.select("node", "pagerank"), 0.7).select("node", "mixed"), "mixed")
+
+
+@query
+def capped_links(spark, d):
+    return graph.capped_edges(_edges(spark, d)).select("src", F.col("pos").cast("long").alias("pos"), "dst")
+
+
+@query
+def site_crawl(spark, d):
+    edges = _trade(spark, d).select(F.concat(F.lit("http://n"), "src", F.lit(".org/a")).alias("src"), F.row_number().over(_by("src", "dst")).alias("pos"), F.concat(F.lit("http://n"), "dst", F.lit(".org/a")).alias("dst"))
+    return web.crawl(edges, ["http://n0.org/a"], max_logical=2, per_site=1, most=20)
+
+
+def _by(part: str, order: str):
+    from pyspark.sql import Window
+
+    return Window.partitionBy(part).orderBy(F.col(order).cast("int"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All queries by name."""
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL by query name."""
+    return {k: v for k, v in ORACLES.items() if k in _QUERIES}

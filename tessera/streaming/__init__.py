@@ -1 +1 @@
-"""Streaming of the text engine."""
+"""Incremental statistics over document streams."""
