@@ -10,6 +10,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 
 def vbyte_encode(values: Iterable[int]) -> bytes:
@@ -102,27 +103,27 @@ def without_gaps(gapped: DataFrame) -> DataFrame:
     return gapped.withColumn("doc_id", F.sum("gap").over(Window.partitionBy("term").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def vbyte_column(values: pd.Series) -> pd.Series:
     return values.map(lambda v: vbyte_encode(int(x) for x in v))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def vbyte_gaps_column(values: pd.Series) -> pd.Series:
     return values.map(lambda v: vbyte_encode(gaps(int(x) for x in v)))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def gamma_column(values: pd.Series) -> pd.Series:
     return values.map(lambda v: gamma_encode(int(x) for x in v))
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(ArrayType(LongType()))
 def vbyte_values(data: pd.Series) -> pd.Series:
     return data.map(vbyte_decode)
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(ArrayType(LongType()))
 def gamma_values(data: pd.Series, count: pd.Series) -> pd.Series:
     return pd.Series([gamma_decode(d, int(n)) for d, n in zip(data, count)], dtype=object)
 

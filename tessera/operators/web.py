@@ -7,6 +7,7 @@ from urllib.parse import urljoin, urlparse
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.storage import materialize
 
@@ -40,7 +41,7 @@ def normalize(base: str, href: str | None) -> str | None:
     return full if full.startswith(("http://", "https://")) else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_column(base: pd.Series, href: pd.Series) -> pd.Series:
     """``normalize`` over columns, for references with dots and other rare forms."""
     return pd.Series([normalize(b, h) for b, h in zip(base, href)], dtype=object)

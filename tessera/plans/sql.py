@@ -28,8 +28,8 @@ def _flat(pattern: str) -> str:
 
 _TYPED = _flat(T.typed_pattern(lookahead=False))
 _TOPIC_ITEMS = f""",
-tq AS (SELECT item_id::VARCHAR AS qid, unnest(list_slice({_WORDS}, 1, 6)) AS term, generate_subscripts(list_slice({_WORDS}, 1, 6), 1) - 1 AS at FROM benchmark),
-q AS (SELECT qid, term, count(*) AS qtf, min(at) AS first_at FROM tq GROUP BY ALL)
+tq AS (SELECT item_id::VARCHAR AS qid, unnest(list_slice({_WORDS}, 1, 6)) AS term, generate_subscripts(list_slice({_WORDS}, 1, 6), 1) - 1 AS pos FROM benchmark),
+q AS (SELECT qid, term, count(*) AS qtf, min(pos) AS first_at FROM tq GROUP BY ALL)
 """
 _TOPIC_FIXED = ",\ntq AS (SELECT qid, unnest(string_split(query, ' ')) AS term FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in TOPICS) + ") x(qid, query)),\nq AS (SELECT qid, term, count(*) AS qtf FROM tq GROUP BY ALL)\n"
 _HITS = """,
@@ -140,7 +140,7 @@ pairs AS (SELECT lang, unnest(list_zip(c[:-2], c[2:])) AS z FROM lt WHERE len(c)
 cnt AS (SELECT lang, z[1] AS a, z[2] AS b, count(*) AS n FROM pairs GROUP BY ALL),
 tr AS (SELECT lang, a, b, n / sum(n) OVER (PARTITION BY lang, a) AS p FROM cnt)
 """
-_LISTS = _BASE + ", q AS (SELECT term, doc_id, tf, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS at, count(*) OVER (PARTITION BY term) AS df FROM p), k AS (SELECT *, at // greatest(1, floor(sqrt(df)))::BIGINT AS block FROM q)"
+_LISTS = _BASE + ", q AS (SELECT term, doc_id, tf, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY term) AS df FROM p), k AS (SELECT *, pos // greatest(1, floor(sqrt(df)))::BIGINT AS block FROM q)"
 _GAPS = _BASE + ", g AS (SELECT term, doc_id, tf, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), 0) AS gap FROM p)"
 _BITS = "CASE WHEN {0} > 0 THEN length(bin({0})) ELSE 0 END"
 _VB = f"greatest(1, ceil(({_BITS}) / 7.0))"
@@ -150,7 +150,7 @@ def _vb(x: str) -> str:
     return _VB.format(x)
 
 
-_LOG = {n: f", l AS (SELECT item_id AS qid, unnest(list_slice({_WORDS}, 1, {n})) AS term, generate_subscripts(list_slice({_WORDS}, 1, {n}), 1) - 1 AS at FROM benchmark WHERE len({_WORDS}) >= {n}), ok AS (SELECT qid FROM l WHERE term IN (SELECT term FROM v) GROUP BY qid HAVING count(*) = {n}), x AS (SELECT qid, doc_id, bool_or(at = 0) AS a, bool_or(at = 1) AS b, bool_or(at = 2) AS c FROM l JOIN p USING (term) WHERE qid IN (SELECT qid FROM ok) GROUP BY ALL) SELECT qid, doc_id FROM x WHERE " for n in (2, 3)}
+_LOG = {n: f", l AS (SELECT item_id AS qid, unnest(list_slice({_WORDS}, 1, {n})) AS term, generate_subscripts(list_slice({_WORDS}, 1, {n}), 1) - 1 AS pos FROM benchmark WHERE len({_WORDS}) >= {n}), ok AS (SELECT qid FROM l WHERE term IN (SELECT term FROM v) GROUP BY qid HAVING count(*) = {n}), x AS (SELECT qid, doc_id, bool_or(pos = 0) AS a, bool_or(pos = 1) AS b, bool_or(pos = 2) AS c FROM l JOIN p USING (term) WHERE qid IN (SELECT qid FROM ok) GROUP BY ALL) SELECT qid, doc_id FROM x WHERE " for n in (2, 3)}
 
 
 def _has(term: str) -> str:
@@ -175,7 +175,7 @@ ORACLES: dict[str, str] = {
     "inverted_index": _BASE + "SELECT term, count(*) AS df, string_agg(doc_id, ',' ORDER BY doc_id) AS docids, string_agg(tf, ',' ORDER BY doc_id) AS freqs FROM p GROUP BY term",
     "tf_idf_weights": _BASE + "SELECT term, doc_id, round((1 + ln(tf)) * ln(n_docs / df), 6) AS weight FROM p JOIN v USING (term), n",
     "doc_norms": _BASE + "SELECT doc_id, round(sqrt(sum(pow((1 + ln(tf)) * ln(n_docs / df), 2))), 6) AS norm FROM p JOIN v USING (term), n GROUP BY doc_id",
-    "vocab_seek": _BASE + f", o AS (SELECT doc_id, unnest({_WORDS}) AS term, generate_subscripts({_WORDS}, 1) AS pos FROM documents), f AS (SELECT term, min((doc_id, pos)) AS at FROM o GROUP BY term), i AS (SELECT term, row_number() OVER (ORDER BY at) AS term_id FROM f) SELECT term, term_id, df, coalesce(sum(df * 8) OVER (ORDER BY term_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS seek FROM i JOIN v USING (term)",
+    "vocab_seek": _BASE + f", o AS (SELECT doc_id, unnest({_WORDS}) AS term, generate_subscripts({_WORDS}, 1) AS pos FROM documents), f AS (SELECT term, min((doc_id, pos)) AS pos FROM o GROUP BY term), i AS (SELECT term, row_number() OVER (ORDER BY pos) AS term_id FROM f) SELECT term, term_id, df, coalesce(sum(df * 8) OVER (ORDER BY term_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS seek FROM i JOIN v USING (term)",
     "posting_lookup": _BASE + "SELECT coalesce(source, '__doc_' || doc_id || '__') AS name, doc_id, tf FROM p JOIN documents USING (doc_id) WHERE term = 'thing'",
     "df_distribution": _BASE + "SELECT df, count(*) AS n_terms FROM v GROUP BY df",
     "df_histogram": _BASE + ", s AS (SELECT min(df)::DOUBLE AS a, max(df)::DOUBLE AS b FROM v) SELECT CASE WHEN b > a THEN least(50, floor((df - a) / ((b - a) / 50)) + 1) ELSE 1 END::INT AS bin, round(a + (b - a) / 50 * (CASE WHEN b > a THEN least(50, floor((df - a) / ((b - a) / 50)) + 1) ELSE 1 END::INT - 1), 6) AS lo, round(a + (b - a) / 50 * CASE WHEN b > a THEN least(50, floor((df - a) / ((b - a) / 50)) + 1) ELSE 1 END::INT, 6) AS hi, count(*) AS n FROM v, s GROUP BY ALL",
@@ -192,7 +192,7 @@ ORACLES: dict[str, str] = {
     "batch_and_and": _BASE + _LOG[3] + "a AND b AND c",
     "batch_or_and_not": _BASE + _LOG[3] + "(a OR b) AND NOT c",
     "batch_and_or": _BASE + _LOG[3] + "(a AND b) OR c",
-    "skip_blocks": _LISTS + "SELECT term, block, max(doc_id) AS max_doc_id, min(at) AS start FROM k GROUP BY ALL",
+    "skip_blocks": _LISTS + "SELECT term, block, max(doc_id) AS max_doc_id, min(pos) AS start FROM k GROUP BY ALL",
     "skip_and_counts": _LISTS + ", b AS (SELECT block, max(doc_id) AS top FROM k WHERE term = 'the' GROUP BY block), t AS (SELECT doc_id AS d FROM p WHERE term = 'thing'), o AS (SELECT d, count(*) FILTER (top < d) AS below, count(*) AS nb FROM t, b GROUP BY d), z AS (SELECT d, least(below, nb - 1) AS block, least(below + 1, nb) AS skips FROM o) SELECT d AS doc_id, bool_or(k.doc_id = d) AS found, skips AS skip_comparisons, least(count(*) FILTER (k.doc_id < d) + 1, count(*)) AS scan_comparisons FROM z JOIN k USING (block) WHERE term = 'the' GROUP BY d, skips",
     "skip_listing": _LISTS + "SELECT source || ':' || doc_id AS line FROM (SELECT block, max(doc_id) AS doc_id FROM k WHERE term = 'the' GROUP BY block) JOIN documents USING (doc_id)",
     "daat_cosine_topk": _BASE + ", q AS (SELECT 'q' AS qid, t AS term, 1 AS qtf FROM (VALUES ('ther'), ('thing'), ('the')) x(t))" + _HITS + ", nm AS (SELECT doc_id, sqrt(sum(pow(tf * log2(n_docs / df), 2))) AS norm FROM p JOIN v USING (term), n GROUP BY doc_id), qn AS (SELECT qid, sqrt(sum(qtf * pow(log2(n_docs / df), 2))) AS q_norm FROM q JOIN v USING (term), n GROUP BY qid), d AS (SELECT qid, doc_id, sum(qtf * log2(n_docs / df) * tf * log2(n_docs / df)) AS dot FROM h GROUP BY ALL) " + _top("SELECT qid, doc_id, coalesce(dot / nullif(norm * q_norm, 0), 0) AS score FROM d JOIN nm USING (doc_id) JOIN qn USING (qid)", 10, "doc_id DESC"),
