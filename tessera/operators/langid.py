@@ -50,9 +50,8 @@ def by_correlation(train: DataFrame, test: DataFrame) -> DataFrame:
 
 def _pairs(characters: Column) -> Column:
     """Adjacent pairs of an array of characters."""
-    n = F.size(characters)
-    at = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(F.element_at(characters, i).alias("a"), F.element_at(characters, i + 1).alias("b")))
+    rest = F.greatest(F.size(characters) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(characters, 1, rest), F.slice(characters, 2, rest)).cast("array<struct<a:string,b:string>>")
 
 
 def transitions(train: DataFrame) -> DataFrame:
