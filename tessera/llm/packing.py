@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into sequences.
 
 Tokenising: the vocabulary's words never cross white space, so a text's ids are the ids of its chunks, and a
-bounded memo of words spares much of the work; texts with rarer white space than the usual four go to the tokenizer whole.
+bounded memo of chunks, kept by each Python worker, spares much of the work; chunks that hold rarer white space go to the tokenizer as they are.
 
 Packing: pieces are dealt by hash to bins of bounded size, several thousand pieces each, and each bin is packed by
 vector best-fit decreasing: a sequence has capacities of tokens, documents and attention cost (sum of squared lengths),
@@ -14,8 +14,8 @@ of their own (their pieces share doc_id and piece); a null id is kept; an empty
 
 from __future__ import annotations
 
+import functools
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,13 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, table
+from tessera.llm.textscan import Slab, slabs
 
 CAPACITY, END = 4096, 1
 BIN_PIECES = 8192
 WEIGHTS = (1.0, 1e-3, 1e-3)
-_RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
 def default_vocabulary() -> str:
     """Path of the public word-level BPE vocabulary."""
     import public_tokenizers
@@ -41,67 +39,123 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_SIMPLE = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+#: Chunks of letters with punctuation after them: one word to the tokenizer, or two.
+_MARKS = r"!-&(-/:-@\[-`{-~"
+_SIMPLE = rf"^[A-Za-z\x{{c0}}-\x{{d6}}\x{{d8}}-\x{{f6}}\x{{f8}}-\x{{12f}}\x{{131}}-\x{{24f}}]+[{_MARKS}]*$"
+_MARKED = rf"[{_MARKS}]$"
+_SECOND = 0xD1342543DE82EF95
 
 
 class Ids:
-    """Ids of texts, a batch at a time, with a memo of words emptied when large.
+    """Ids of texts, a slab at a time, with a memo of chunks (runs without white space) that is emptied when large.
 
-    Most chunks (runs without white space) are letters with punctuation after them: two words to the tokenizer. The lower-cased letters of a
-    batch's new ones are encoded together, and told apart by the ids that end a word.
+    The memo is arrays sorted by a chunk's hash: a second hash, and where its ids lie. New chunks of the common form are encoded many in one text and
+    told apart by the ids that end a word; the rest one by one.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Add words of letters alone to the memo, many in one text."""
-        for at in range(0, len(words), 4096):
-            parts = [words[i : i + 256] for i in range(at, min(at + 4096, len(words)), 256)]
-            for part, got in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
-                ids = np.array(got.ids, "<u4")
-                cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-                if len(cuts) == len(part):
-                    data = ids.tobytes()
-                    self.words.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+        self.clear()
+
+    def clear(self) -> None:
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.levels = [none, none]  # (hash, second hash, place, number): all, and the latest
+        self.flat, self.held = np.zeros(1 << 20, np.uint32), 0
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encode_chunks(self, data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        """Ids (all in one list of arrays) and their number for chunks laid end to end, a space after each; ``starts`` has the end too."""
+        raw = data.tobytes()
+        offsets = pa.py_buffer(np.ascontiguousarray(starts, np.int64))
+        chunks = pa.LargeStringArray.from_buffers(len(starts) - 1, offsets, pa.py_buffer(raw))
+        chunks = pc.utf8_slice_codeunits(chunks, 0, -1)
+        simple = pc.match_substring_regex(chunks, _SIMPLE).to_numpy(zero_copy_only=False) & (np.diff(starts) <= 64)
+        words = 1 + pc.match_substring_regex(chunks, _MARKED).to_numpy(zero_copy_only=False).astype(np.int64)
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(simple)
+        plain = np.flatnonzero(simple)
+        for at in range(0, len(plain), 4096):
+            groups = [plain[i : i + 256] for i in range(at, min(at + 4096, len(plain)), 256)]
+            texts = [b"".join([raw[a:b] for a, b in zip(starts[g].tolist(), starts[g + 1].tolist())]).decode() for g in groups]
+            for g, got in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(got.ids, np.uint32)
+                last = np.flatnonzero(self.ends[ids])
+                if len(last) == words[g].sum():
+                    cuts = [0, *(last[np.cumsum(words[g]) - 1] + 1).tolist()]
+                    for i, a, b in zip(g.tolist(), cuts, cuts[1:]):
+                        out[i] = ids[a:b]
                 else:
-                    self.words.update((w, self.encode(w)) for w in part)
-
-    def of_chunks(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of each chunk."""
-        out: dict[str, bytes] = {}
-        simple, words, marked = [], set(), set()
-        for chunk in chunks:
-            m = _SIMPLE.fullmatch(chunk) if len(chunk) <= 64 else None
-            if m:
-                word, marks = m[1].lower(), m[2]
-                simple.append((chunk, word, marks))
-                words.add(word)
-                marked.add(marks)
-            else:
-                out[chunk] = self.encode(chunk)
-        if len(self.words) + len(words) > self.most:
-            self.words = {}
-        self.learn(sorted(words - self.words.keys()))
-        known, after = self.words, {marks: self.encode(marks) if marks else b"" for marks in marked}
-        out.update((chunk, known[word] + after[marks] if marks else known[word]) for chunk, word, marks in simple)
+                    for i in g.tolist():
+                        out[i] = self.encode(chunks[i].as_py())
+        for i in np.flatnonzero(~simple).tolist():
+            out[i] = self.encode(chunks[i].as_py())
         return out
 
-    def of_all(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text."""
-        cut = [None if _RARE_SPACE.search(t) else t.split() for t in texts]
-        get = self.of_chunks(set().union(*(x for x in cut if x))).__getitem__
-        for text, chunks in zip(texts, cut):
-            yield self.encode(text) if chunks is None else b"".join(map(get, chunks))
+    def _find(self, level: tuple, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Row of each key in a level, or -1."""
+        if not len(level[0]):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(level[0], h), len(level[0]) - 1)
+        return np.where((level[0][at] == h) & (level[1][at] == g), at, -1)
+
+    def _add(self, h: np.ndarray, g: np.ndarray, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Put new keys, in the order of their hashes, into the memo; their places and numbers."""
+        number = np.array([len(x) for x in found], np.int64)
+        place = self.held + np.cumsum(number) - number
+        end = self.held + int(number.sum())
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.held], np.zeros(max(end, len(self.flat)), np.uint32)])
+        self.flat[self.held : end] = np.concatenate(found)
+        self.held = end
+        self.levels[1] = self._merged(self.levels[1], (h, g, place, number))
+        if len(self.levels[1][0]) > 200_000:
+            self.levels = [self._merged(*self.levels), tuple(x[:0] for x in self.levels[1])]
+        return place, number
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        at = np.searchsorted(a[0], b[0])
+        return tuple(np.insert(x, at, y) for x, y in zip(a, b))
+
+    def of_slab(self, slab: Slab) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows end to end, and where each row's begin (and the last ends)."""
+        if sum(len(level[0]) for level in self.levels) > self.most:
+            self.clear()
+        h, g = slab.word_hashes(), slab.word_hashes(base=_SECOND)
+        keys, first, code = np.unique(h, return_index=True, return_inverse=True)
+        seconds = g[first]
+        if len(h) and not np.array_equal(seconds[code], g):  # two chunks of one hash
+            rows = [self.encode(slab.text(r)) for r in range(slab.rows)]
+            return np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+        place, number = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        for level in self.levels:
+            row = self._find(level, keys, seconds)
+            hit = row >= 0
+            place[hit], number[hit] = level[2][row[hit]], level[3][row[hit]]
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            a, n = slab.starts[first[new]], slab.ends[first[new]] - slab.starts[first[new]]
+            starts = np.concatenate([[0], np.cumsum(n + 1)])
+            data = np.full(starts[-1], 32, np.uint8)
+            inside = np.arange(n.sum()) + np.repeat(np.arange(len(n)), n)
+            data[inside] = slab.raw[np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)]
+            place[new], number[new] = self._add(keys[new], seconds[new], self.encode_chunks(data, starts))
+        count = number[code]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ids = self.flat[np.arange(upto[-1]) + np.repeat(place[code] - upto[:-1], count)]
+        return ids, upto[slab.first]
+
+
+@functools.cache
+def _shared_ids(path: str) -> Ids:
+    """One per Python worker, for all of its tasks."""
+    return Ids(path)
 
 
 def tokenize(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -109,26 +163,21 @@ def tokenize(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAP
     path = vocabulary or default_vocabulary()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    end = np.array([END], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Ids(path)
+        memo = _shared_ids(path)
         for batch in batches:
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-            lo = 0
-            while lo < batch.num_rows:  # some 4 MB of text at a time
-                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + (1 << 22), "right")))
-                part_of = batch.slice(lo, hi - lo)
-                texts = [t or "" for t in part_of.column(1).to_pylist()]
+            for slab in slabs(batch.column(1), 1 << 20):
+                ids, bounds = memo.of_slab(slab)
+                ids = np.insert(ids, bounds[1:], END).astype("<u4", copy=False)
+                bounds = bounds + np.arange(len(bounds))
                 out: list[list] = [[] for _ in names]
-                for doc_id, data in zip(part_of.column(0).to_pylist(), memo.of_all(texts)):
-                    data += end
-                    for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[at : at + 4 * capacity]
-                        for column, v in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part)):
+                for doc_id, lo, hi in zip(batch.column(0).slice(slab.lo, slab.rows).to_pylist(), bounds.tolist(), bounds[1:].tolist()):
+                    for k, at in enumerate(range(lo, hi, capacity)):
+                        part = ids[at : min(at + capacity, hi)]
+                        for column, v in zip(out, (doc_id, k, at - lo, len(part), zlib.crc32(part), part.tobytes() if keep_ids else None)):
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
-                lo = hi
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 

@@ -88,10 +88,14 @@ class Slab:
         """The row of each word, from 0 in this slab."""
         return np.repeat(np.arange(self.rows), np.diff(self.first))
 
-    def word_hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash per word; ``lower`` folds A-Z first."""
+    def word_hashes(self, lower: bool = False, base: int = _P) -> np.ndarray:
+        """A 64-bit hash per word; ``lower`` folds A-Z first; another odd ``base`` gives another hash."""
         values = (_BYTE[_LOWER] if lower else _BYTE)[self.raw]
-        return ranged(prefix(values, _P), self.starts, self.ends, _P)
+        return ranged(prefix(values, base), self.starts, self.ends, base)
+
+    def text(self, row: int) -> str:
+        """One row."""
+        return self.raw[self.offsets[row] : self.offsets[row + 1]].tobytes().decode()
 
     def words(self, row: int) -> list[bytes]:
         """The words of one row."""
