@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, small_batches, table, tidied
 from tessera.llm.components import connected_components, roots_of
 from tessera.llm.textscan import U, mix64, shingle_sets, slabs
 
@@ -215,15 +215,16 @@ def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
+    small_batches(docs.sparkSession)
     p = percent / 100
     least = max(0.0, p - SLACK * math.sqrt((0.25 + 0.75 * p) * (0.75 - 0.75 * p) / HASHES) / 0.75)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = materialize(docs.mapInArrow(lambda it: _sketches(it, k), "doc_id long, n_shingles long, print binary, keys binary, bits binary"), "sketches")
+    sketched = materialize(docs.mapInArrow(tidied(lambda it: _sketches(it, k)), "doc_id long, n_shingles long, print binary, keys binary, bits binary"), "sketches")
     named = sketched.where("print IS NOT NULL AND doc_id IS NOT NULL")
     first = named.groupBy("print").agg(F.min("doc_id").alias("id"), F.min("keys").alias("keys"), F.min("bits").alias("bits"))
-    forest = first.select("id", "keys", "bits").mapInArrow(_explode, "region long, ord long, id long, bits binary")
+    forest = first.select("id", "keys", "bits").mapInArrow(tidied(_explode), "region long, ord long, id long, bits binary")
     sorted_ = forest.repartition("region").sortWithinPartitions("region", "ord", "id")
-    candidates = connected_components(sorted_.mapInArrow(lambda it: _scan(it, least), "a long, b long"))
+    candidates = connected_components(sorted_.mapInArrow(tidied(lambda it: _scan(it, least)), "a long, b long"))
 
     # texts of the candidates, once each, to tiles
     groups = candidates.select("id", "component").unionByName(candidates.select(F.col("component").alias("id"), "component").distinct())

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, small_batches, table, tidied
 from tessera.llm.textscan import Slab, slabs
 
 CAPACITY, END = 4096, 1
@@ -53,7 +53,7 @@ class Ids:
     told apart by the ids that end a word; the rest one by one.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -70,32 +70,35 @@ class Ids:
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def encode_chunks(self, data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        """Ids (all in one list of arrays) and their number for chunks laid end to end, a space after each; ``starts`` has the end too."""
-        raw = data.tobytes()
-        offsets = pa.py_buffer(np.ascontiguousarray(starts, np.int64))
-        chunks = pa.LargeStringArray.from_buffers(len(starts) - 1, offsets, pa.py_buffer(raw))
-        chunks = pc.utf8_slice_codeunits(chunks, 0, -1)
-        simple = pc.match_substring_regex(chunks, _SIMPLE).to_numpy(zero_copy_only=False) & (np.diff(starts) <= 64)
-        words = 1 + pc.match_substring_regex(chunks, _MARKED).to_numpy(zero_copy_only=False).astype(np.int64)
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(simple)
-        plain = np.flatnonzero(simple)
-        for at in range(0, len(plain), 4096):
-            groups = [plain[i : i + 256] for i in range(at, min(at + 4096, len(plain)), 256)]
-            texts = [b"".join([raw[a:b] for a, b in zip(starts[g].tolist(), starts[g + 1].tolist())]).decode() for g in groups]
-            for g, got in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+    def encode_chunks(self, slab: Slab, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the chunks at bytes ``a..b`` of a slab: their order, each one's number of ids, and the ids end to end in that order."""
+        raw, starts = _laid(slab.raw, a, b)
+        chunks = pa.LargeStringArray.from_buffers(len(a), pa.py_buffer(starts), pa.py_buffer(raw))
+        bare = pc.utf8_slice_codeunits(chunks, 0, -1)  # without the space
+        simple = pc.match_substring_regex(bare, _SIMPLE).to_numpy(zero_copy_only=False) & (b - a <= 64)
+        words = 1 + pc.match_substring_regex(bare, _MARKED).to_numpy(zero_copy_only=False).astype(np.int64)
+        plain, rest = np.flatnonzero(simple), np.flatnonzero(~simple).tolist()
+        if rest:
+            raw, starts = _laid(slab.raw, a[plain], b[plain])
+            words = words[plain]
+        counts, found = [], []
+        cuts = [*range(0, len(plain), 256), len(plain)]
+        for lo in range(0, len(cuts) - 1, 16):
+            part = cuts[lo : lo + 17]
+            texts = [raw[starts[i] : starts[j]].decode() for i, j in zip(part, part[1:])]
+            for i, j, got in zip(part, part[1:], self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(got.ids, np.uint32)
                 last = np.flatnonzero(self.ends[ids])
-                if len(last) == words[g].sum():
-                    cuts = [0, *(last[np.cumsum(words[g]) - 1] + 1).tolist()]
-                    for i, a, b in zip(g.tolist(), cuts, cuts[1:]):
-                        out[i] = ids[a:b]
+                upto = np.cumsum(words[i:j])
+                if len(last) == upto[-1]:
+                    counts.append(np.diff(last[upto - 1], prepend=-1))
+                    found.append(ids)
                 else:
-                    for i in g.tolist():
-                        out[i] = self.encode(chunks[i].as_py())
-        for i in np.flatnonzero(~simple).tolist():
-            out[i] = self.encode(chunks[i].as_py())
-        return out
+                    rest += plain[i:j].tolist()
+                    plain[i:j] = -1
+        alone = [self.encode(bare[i].as_py()) for i in rest]
+        order = np.concatenate([plain[plain >= 0], np.array(rest, np.int64)])
+        return order, np.concatenate([*counts, np.array([len(x) for x in alone], np.int64)]), np.concatenate([*found, *alone])
 
     def _find(self, level: tuple, h: np.ndarray, g: np.ndarray) -> np.ndarray:
         """Row of each key in a level, or -1."""
@@ -104,14 +107,14 @@ class Ids:
         at = np.minimum(np.searchsorted(level[0], h), len(level[0]) - 1)
         return np.where((level[0][at] == h) & (level[1][at] == g), at, -1)
 
-    def _add(self, h: np.ndarray, g: np.ndarray, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def _add(self, h: np.ndarray, g: np.ndarray, order: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Put new keys, in the order of their hashes, into the memo; their places and numbers."""
-        number = np.array([len(x) for x in found], np.int64)
-        place = self.held + np.cumsum(number) - number
-        end = self.held + int(number.sum())
+        place, number = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        place[order], number[order] = self.held + np.cumsum(counts) - counts, counts
+        end = self.held + len(ids)
         if end > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.held], np.zeros(max(end, len(self.flat)), np.uint32)])
-        self.flat[self.held : end] = np.concatenate(found)
+        self.flat[self.held : end] = ids
         self.held = end
         self.levels[1] = self._merged(self.levels[1], (h, g, place, number))
         if len(self.levels[1][0]) > 200_000:
@@ -140,18 +143,24 @@ class Ids:
             place[hit], number[hit] = level[2][row[hit]], level[3][row[hit]]
         new = np.flatnonzero(place < 0)
         if len(new):
-            a, n = slab.starts[first[new]], slab.ends[first[new]] - slab.starts[first[new]]
-            starts = np.concatenate([[0], np.cumsum(n + 1)])
-            data = np.full(starts[-1], 32, np.uint8)
-            inside = np.arange(n.sum()) + np.repeat(np.arange(len(n)), n)
-            data[inside] = slab.raw[np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)]
-            place[new], number[new] = self._add(keys[new], seconds[new], self.encode_chunks(data, starts))
+            got = self.encode_chunks(slab, slab.starts[first[new]], slab.ends[first[new]])
+            place[new], number[new] = self._add(keys[new], seconds[new], *got)
         count = number[code]
         upto = np.concatenate([[0], np.cumsum(count)])
         ids = self.flat[np.arange(upto[-1]) + np.repeat(place[code] - upto[:-1], count)]
         return ids, upto[slab.first]
 
 
+def _laid(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The bytes at each ``a..b`` end to end, a space after each, and where each begins (and the last ends)."""
+    n = b - a
+    starts = np.concatenate([[0], np.cumsum(n + 1)]).astype(np.int64)
+    data = np.full(starts[-1], 32, np.uint8)
+    each = np.arange(n.sum())
+    data[each + np.repeat(np.arange(len(n)), n)] = raw[each + np.repeat(a - (np.cumsum(n) - n), n)]
+    return data.tobytes(), starts
+
+
 @functools.cache
 def _shared_ids(path: str) -> Ids:
     """One per Python worker, for all of its tasks."""
@@ -160,6 +169,7 @@ def _shared_ids(path: str) -> Ids:
 
 def tokenize(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32[, ids]) of the documents; no shuffle."""
+    small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -167,7 +177,7 @@ def tokenize(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAP
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _shared_ids(path)
         for batch in batches:
-            for slab in slabs(batch.column(1), 1 << 20):
+            for slab in slabs(batch.column(1)):
                 ids, bounds = memo.of_slab(slab)
                 ids = np.insert(ids, bounds[1:], END).astype("<u4", copy=False)
                 bounds = bounds + np.arange(len(bounds))
@@ -179,7 +189,7 @@ def tokenize(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAP
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(pieces), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, most_docs: int = CAPACITY, most_attention: float = float(CAPACITY) ** 2, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, small_batches, table, tidied
 from tessera.llm.learn import LABELLED_ROWS, Logistic, fold_of, labelled_sample
 from tessera.llm.textscan import U, mix64, slabs
 
@@ -149,6 +149,7 @@ def _columns(docs: DataFrame) -> list:
 
 def train_quality(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS, pool: int = POOL_ROWS) -> CoTrained:
     """Fit on bounded samples; their features, not their texts, reach the driver."""
+    small_batches(docs.sparkSession)
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), *_columns(docs))
     sample = labelled_sample(labels, "quality", most)
@@ -164,7 +165,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["label", "fold", "x"])
 
     joined = rows.join(F.broadcast(taken), F.col("doc_id") == F.col("label_id")).select("label", "fold", "text", "source", "lang", "n_chars")
-    got = joined.mapInArrow(features, "label int, fold long, x binary").toArrow()
+    got = joined.mapInArrow(tidied(features), "label int, fold long, x binary").toArrow()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), "<f4").reshape(-1, N_TEXT + N_META).astype(float)
     order = np.lexsort(x.T[:4])  # the same rows in the same order whatever the partitions
     label, fold = got.column("label").to_numpy()[order], got.column("fold").to_numpy()[order]
@@ -174,6 +175,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS,
 
 def score_quality(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, text_score, meta_score, score, kept) per row of ``docs``."""
+    small_batches(docs.sparkSession)
     doc_id = F.col("doc_id").cast("long")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +184,12 @@ def score_quality(docs: DataFrame, model: CoTrained, threshold: float = THRESHOL
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a), pa.array(b), pa.array(p), pa.array(p >= threshold)], ["doc_id", "held_out", "text_score", "meta_score", "score", "kept"])
 
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(fold_of(doc_id) == 2, F.lit(False)).alias("held_out"), *_columns(docs))
-    return rows.mapInArrow(judge, "doc_id long, held_out boolean, text_score double, meta_score double, score double, kept boolean")
+    return rows.mapInArrow(tidied(judge), "doc_id long, held_out boolean, text_score double, meta_score double, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, with their columns; no shuffle."""
+    small_batches(docs.sparkSession)
     columns = docs.columns
     at = len(columns)
 
@@ -196,7 +199,7 @@ def keep_good(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -
             yield pa.RecordBatch.from_arrays(batch.columns[:at], columns).filter(pa.array(p >= threshold))
 
     wide = [F.col(f"`{c}`") for c in columns] + [c.alias(f"_quality_{i}") for i, c in enumerate(_columns(docs))]
-    return docs.select(*wide).mapInArrow(judge, docs.schema)
+    return docs.select(*wide).mapInArrow(tidied(judge), docs.schema)
 
 
 def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, small_batches, table, tidied
 from tessera.llm.textscan import U, Slab, mix64, prefix, ranged, slabs
 
 WINDOW, GRAM = 35, 12
@@ -111,8 +111,9 @@ def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(id, spans): per document with repeated windows, the (first, last) starts of runs of such windows, in words."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    anchors = materialize(docs.mapInArrow(lambda it: _emit_anchors(it, window, gram), "id long, v long, f long, lo int, hi int"), "anchors")
+    anchors = materialize(docs.mapInArrow(tidied(lambda it: _emit_anchors(it, window, gram)), "id long, v long, f long, lo int, hi int"), "anchors")
     shared = anchors.groupBy("v").agg(F.count("*").alias("n"), F.min("f").alias("f0"), F.max("f").alias("f1")).where("n > 1").select(F.col("v").alias("v_of"), (F.col("f0") == F.col("f1")).alias("same"))
     again = materialize(anchors.join(shared, F.col("v") == F.col("v_of")).drop("v_of"), "shared-anchors")
     settled = again.where("same").select("id", "lo", "hi")
@@ -126,7 +127,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     asked = contexts.select(F.col("one.id").alias("id"), F.struct(F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), (F.col("n") == 1).alias("alone")).alias("x"))
     asked = asked.groupBy("id").agg(F.collect_list("x").alias("ranges"))
     windows = docs.join(asked, docs["doc_id"] == asked["id"]).select("id", "text", "ranges")
-    windows = materialize(windows.mapInArrow(lambda it: _emit_windows(it, window), "id long, at int, h1 long, h2 long, alone boolean"), "windows")
+    windows = materialize(windows.mapInArrow(tidied(lambda it: _emit_windows(it, window)), "id long, at int, h1 long, h2 long, alone boolean"), "windows")
     repeated = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("alone").alias("any")).where("n > 1 AND any").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"))
     found = windows.where("alone").join(repeated, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).select("id", F.col("at").alias("lo"), F.col("at").alias("hi"))
     return settled.unionByName(found).groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
@@ -169,7 +170,7 @@ def removal_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spans = find_repeats(docs, window)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.join(spans, rows["doc_id"] == spans["id"], "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(lambda it: _remove(it, window, True), "doc_id long, n_words long, n_removed long, kept string").withColumnRenamed("kept", "kept_sha256")
+    return rows.mapInArrow(tidied(lambda it: _remove(it, window, True)), "doc_id long, n_words long, n_removed long, kept string").withColumnRenamed("kept", "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -186,7 +187,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             text = pa.concat_arrays([x.column(3) for x in _remove(iter([part]), window, False)] or [pa.array([], pa.string())])
             yield pa.RecordBatch.from_arrays([text if i == at else batch.column(i) for i in range(len(columns))], columns)
 
-    return rows.select(*[F.col(f"`{c}`") for c in columns], "_repeat_spans").mapInArrow(cut, docs.schema)
+    return rows.select(*[F.col(f"`{c}`") for c in columns], "_repeat_spans").mapInArrow(tidied(cut), docs.schema)
 
 
 class SuffixAutomaton:

@@ -41,7 +41,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``base**i`` and ``base**-i`` modulo 2**64 for i below n."""
     got = _powers.get(base)
     if got is None or len(got[0]) < n:
-        size = max(n, 1 << 20)
+        size = -(-n // (1 << 16)) << 16
         inverse = pow(base, -1, 2**64)
         up, down = np.full(size, base, U), np.full(size, inverse, U)
         up[0] = down[0] = 1
