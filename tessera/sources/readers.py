@@ -11,8 +11,8 @@ _NAME = r"([^/]+)$"
 
 
 def _whole(spark: SparkSession, path: str, pattern: str, recursive: bool = False) -> DataFrame:
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).option("ignoreMissingFiles", True)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).option("ignoreMissingFiles", True)
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def numbered_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -46,7 +46,7 @@ def document_words(path: Column, text: Column, words: Column, tokenizer) -> Colu
 
 def trec_documents(spark: SparkSession, path: str) -> DataFrame:
     """(docno, text) of ``<DOC>`` elements; ``?`` without a DOCNO."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     docs = raw.select(F.explode(F.regexp_extract_all("value", F.lit("(?s)<DOC>(.*?)</DOC>"), F.lit(1))).alias("doc"))
     docno = F.trim(F.regexp_extract("doc", "(?s)<DOCNO>(.*?)</DOCNO>", 1))
     return docs.select(F.when(docno != "", docno).otherwise("?").alias("docno"), T.strip_docno(F.col("doc")).alias("text"))
@@ -54,7 +54,7 @@ def trec_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def trec_topics(spark: SparkSession, path: str) -> DataFrame:
     """(qid, query) of ``<top>`` elements with a number."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     tops = raw.select(F.explode(F.split("value", "<top>")).alias("top"))
     number = F.regexp_extract("top", r"<num>(\d+)</num>", 1)
     return tops.where(number != "").select(number.alias("qid"), F.trim(F.regexp_extract("top", "(?s)<title>(.*?)</title>", 1)).alias("query"))
@@ -109,7 +109,7 @@ def numeric_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def book(spark: SparkSession, path: str) -> DataFrame:
     """(text) of one file, lower-cased."""
-    return spark.read.option("wholetext", True).text(path).select(F.lower("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.lower("value").alias("text"))
 
 
 def records(spark: SparkSession, rows: list[dict]) -> DataFrame:
@@ -119,7 +119,7 @@ def records(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 def files_with_names(spark: SparkSession, path: str) -> DataFrame:
     """(docno, filename, text): every file a document."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("filename"), F.col("value").alias("text"))
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("filename"), F.col("value").alias("text"))
     return rows.select(T.name_of_path(F.col("filename")).alias("docno"), "filename", "text")
 
 
