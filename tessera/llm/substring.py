@@ -119,10 +119,11 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     settled = again.where("same").select("id", "lo", "hi")
 
     mixed = again.where("NOT same")
-    contexts = mixed.groupBy("v", "f").agg(F.count("*").alias("n"), F.min(F.struct("id", "lo", "hi")).alias("one"))
-    contexts = materialize(contexts, "contexts")
-    twice = contexts.where("n > 1").select(F.col("v").alias("v_of"), F.col("f").alias("f_of"))
-    settled = settled.unionByName(mixed.join(twice, (F.col("v") == F.col("v_of")) & (F.col("f") == F.col("f_of"))).select("id", "lo", "hi"))
+    contexts = materialize(mixed.groupBy("v", "f").agg(F.count("*").alias("n"), F.min(F.struct("id", "lo", "hi")).alias("one")), "contexts")
+    # each row meets its context's count, once
+    counts = contexts.select(F.col("v").alias("v_of"), F.col("f").alias("f_of"), "n")
+    counted = materialize(mixed.join(counts, (F.col("v") == F.col("v_of")) & (F.col("f") == F.col("f_of"))).select("id", "lo", "hi", "n"), "counted")
+    settled = settled.unionByName(counted.where("n > 1").select("id", "lo", "hi"))
 
     asked = contexts.select(F.col("one.id").alias("id"), F.struct(F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), (F.col("n") == 1).alias("alone")).alias("x"))
     asked = asked.groupBy("id").agg(F.collect_list("x").alias("ranges"))
