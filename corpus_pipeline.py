@@ -18,8 +18,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id. Documents without an id all stay."""
-    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
+    """One document of each group of near duplicates (similarity of 0.8 or more): the one with the smallest id. Documents without an id all stay."""
+    kept = minhash.near_duplicates(docs, percent=80).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
     columns = docs.columns
     rows = docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept_id"), "left").where(F.col("_kept_id").isNotNull() | docs["doc_id"].isNull())
     return rows.select(*[docs[f"`{c}`"] for c in columns])

@@ -34,7 +34,9 @@ from tessera.llm.textscan import U, mix64, shingle_sets, slabs
 
 TREES, DEPTH, LEVELS = 12, 4, 3
 HASHES = 128
-#: Candidates need this estimated similarity: four standard errors below 0.85 and below.
+#: All trees miss a pair at exactly the threshold with this probability at most, as far as the hashes go (0.79 and above).
+MISS = 1.5e-4
+#: Candidates need this estimated similarity: four standard errors below the threshold.
 SLACK = 4.0
 DENSE = 512
 TILE_ROWS, TILE_BYTES = 2048, 6 << 20
@@ -53,13 +55,20 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def trees_for(percent: int) -> int:
+    """Number of trees for a threshold: TREES, or as many more as MISS asks."""
+    p = (percent / 100) ** DEPTH
+    need = math.ceil(math.log(MISS) / math.log1p(-p)) if 0 < p < 1 else 0
+    return max(TREES, min(need, HASHES // (DEPTH + LEVELS)))
+
+
 def _two_bits(sig: np.ndarray) -> np.ndarray:
     """Two well-mixed bits of each minhash, packed: HASHES / 4 bytes."""
     v = ((sig * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint8).reshape(-1, 4)
     return v[:, 0] | v[:, 1] << 2 | v[:, 2] << 4 | v[:, 3] << 6
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], k: int, trees: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for slab in slabs(batch.column(1)):
             n, prints, keys, bits = [], [], [], []
@@ -72,8 +81,8 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
                 sig = signature(s)
                 bits.append(_two_bits(sig).tobytes())
                 # a tree's key: the hash of its first DEPTH minhashes, then hashes of the deeper levels
-                used = sig[: TREES * (DEPTH + LEVELS)].astype(U).reshape(TREES, DEPTH + LEVELS)
-                h, levels = np.arange(1, TREES + 1, dtype=U), []
+                used = sig[: trees * (DEPTH + LEVELS)].astype(U).reshape(trees, DEPTH + LEVELS)
+                h, levels = np.arange(1, trees + 1, dtype=U), []
                 for j in range(DEPTH + LEVELS):
                     h = mix64(h * U(0x2545F4914F6CDD1D) + used[:, j])
                     if j >= DEPTH - 1:
@@ -83,17 +92,17 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays(rows, ["doc_id", "n_shingles", "print", "keys", "bits"])
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _explode(batches: Iterator[pa.RecordBatch], trees: int) -> Iterator[pa.RecordBatch]:
     """A row per tree: region (first level's hash), order (deeper levels, 16 bits each), id, sketch."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(batch.num_rows * TREES, LEVELS + 1)
+        keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(batch.num_rows * trees, LEVELS + 1)
         order = np.zeros(len(keys), np.int64)
         for j in range(1, LEVELS + 1):
             order = order << 16 | (keys[:, j] >> U(48)).astype(np.int64)
-        ids = np.repeat(batch.column(0).to_numpy(), TREES)
-        bits = batch.column(2).take(pa.array(np.repeat(np.arange(batch.num_rows), TREES)))
+        ids = np.repeat(batch.column(0).to_numpy(), trees)
+        bits = batch.column(2).take(pa.array(np.repeat(np.arange(batch.num_rows), trees)))
         yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].astype(np.int64)), pa.array(order), pa.array(ids), bits], ["region", "ord", "id", "bits"])
 
 
@@ -216,13 +225,13 @@ def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
     small_batches(docs.sparkSession)
-    p = percent / 100
+    p, trees = percent / 100, trees_for(percent)
     least = max(0.0, p - SLACK * math.sqrt((0.25 + 0.75 * p) * (0.75 - 0.75 * p) / HASHES) / 0.75)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = materialize(docs.mapInArrow(tidied(lambda it: _sketches(it, k)), "doc_id long, n_shingles long, print binary, keys binary, bits binary"), "sketches")
+    sketched = materialize(docs.mapInArrow(tidied(lambda it: _sketches(it, k, trees)), "doc_id long, n_shingles long, print binary, keys binary, bits binary"), "sketches")
     named = sketched.where("print IS NOT NULL AND doc_id IS NOT NULL")
     first = named.groupBy("print").agg(F.min("doc_id").alias("id"), F.min("keys").alias("keys"), F.min("bits").alias("bits"))
-    forest = first.select("id", "keys", "bits").mapInArrow(tidied(_explode), "region long, ord long, id long, bits binary")
+    forest = first.select("id", "keys", "bits").mapInArrow(tidied(lambda it: _explode(it, trees)), "region long, ord long, id long, bits binary")
     sorted_ = forest.repartition("region").sortWithinPartitions("region", "ord", "id")
     candidates = connected_components(sorted_.mapInArrow(tidied(lambda it: _scan(it, least)), "a long, b long"))
 

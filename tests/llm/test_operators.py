@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from tessera.llm import learn, media, minhash, mixing, packing, quality, substring, toxicity, urlfilter, vectors, warc
 from tessera.llm.components import connected_components
 
@@ -164,6 +165,23 @@ def test_minhash_dense_groups_and_empty_table(spark, monkeypatch):
     assert minhash.near_duplicates(rows_of(spark, rows).where("false")).count() == 0
 
 
+def test_pipeline_near_duplicates_from_eighty_percent(spark):
+    def pair(i: int, words: int) -> list[tuple]:
+        text = [f"p{i}w{j}" for j in range(words)]
+        return [(i, " ".join(text), "en", "s", 0), (i + 1, " ".join([*text[:20], "other", *text[21:]]), "en", "s", 0)]
+
+    rows = pair(0, 49) + pair(10, 55) + pair(20, 48) + [(None, text, "en", "s", 0) for text in ("a b c", "d e f")]  # 40 of 50, 46 of 56, 39 of 49
+    docs = rows_of(spark, rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect() if r.doc_id is not None) == [0, 10, 20, 21]
+    assert all(r.kept for r in minhash.near_duplicates(docs).collect())
+
+
+def test_minhash_trees_follow_the_threshold():
+    assert minhash.trees_for(85) == minhash.TREES == minhash.trees_for(100)
+    assert (1 - 0.8**minhash.DEPTH) ** minhash.trees_for(80) <= minhash.MISS
+    assert minhash.trees_for(50) * (minhash.DEPTH + minhash.LEVELS) <= minhash.HASHES
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 180)] + [(7, 7), (None, 3), (5, 4)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
