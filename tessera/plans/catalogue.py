@@ -271,9 +271,16 @@ def skip_listing(spark, d):
 # --- ranking ---
 
 
+def _item_topics(spark, d, terms) -> DataFrame:
+    return ranking.query_terms(read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("qid"), "text"), terms)
+
+
 def _topics(spark, d) -> DataFrame:
-    items = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("query"))
-    return ranking.query_terms(items.withColumnRenamed("query", "text"), F.slice(words(), 1, 6))
+    return _item_topics(spark, d, F.slice(words(), 1, 6))
+
+
+def _whole_topics(spark, d) -> DataFrame:
+    return _item_topics(spark, d, words())
 
 
 def _fixed_topics(spark) -> DataFrame:
@@ -297,33 +304,30 @@ def daat_cosine_topk(spark, d):
     return ranking.cosine_topk(_hits(spark, d, topic), t["norms_log2"], topic, t["vocab"], n_docs(spark, d), 10)
 
 
-@query
-def vsm_rank(spark, d):
-    return ranking.top(ranking.vsm(_hits(spark, d, _topics(spark, d)), stored(spark, d)["norms_ln"]), 10)
+def _ranked(name: str, run: Callable) -> None:
+    """Register ``name`` over the topics of its SQL, the first six words of each benchmark text, and ``name_whole`` over all words."""
+    for suffix, topics in (("", _topics), ("_whole", _whole_topics)):
 
+        def ask(spark, d, topics=topics):
+            return run(spark, d, topics(spark, d))
 
-@query
-def taat_count(spark, d):
-    return ranking.count_scores(_hits(spark, d, _topics(spark, d)), "taat", 20)
+        ask.__name__ = name + suffix
+        query(ask)
 
 
-@query
-def daat_count(spark, d):
-    return ranking.count_scores(_hits(spark, d, _topics(spark, d)), "daat", 20)
+def _length_stats(spark, d, topics: DataFrame) -> DataFrame:
+    hits = _hits(spark, d, topics).groupBy("qid").agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"))
+    return hits.groupBy("terms").agg(F.count("*").alias("n"), F.round(F.avg("postings"), 6).alias("mean_postings"), F.min("postings").alias("min_postings"), F.max("postings").alias("max_postings"), F.round(F.coalesce(F.stddev_samp("postings"), F.lit(0.0)), 4).alias("std_postings"))
 
 
-@query
-def query_length_stats(spark, d):
-    hits = _hits(spark, d, _topics(spark, d)).groupBy("qid").agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"))
-    return hits.groupBy("terms").agg(F.count("*").alias("n"), F.round(F.avg("postings"), 6).alias("mean_postings"), F.min("postings").alias("min_postings"), F.max("postings").alias("max_postings"), F.round(F.coalesce(F.stddev_samp("postings"), F.lit(0.0)), 4).alias("std_postings"))
+_ranked("vsm_rank", lambda spark, d, topics: ranking.top(ranking.vsm(_hits(spark, d, topics), stored(spark, d)["norms_ln"]), 10))
+_ranked("taat_count", lambda spark, d, topics: ranking.count_scores(_hits(spark, d, topics), "taat", 20))
+_ranked("daat_count", lambda spark, d, topics: ranking.count_scores(_hits(spark, d, topics), "daat", 20))
+_ranked("query_length_stats", _length_stats)
 
 
 def _model(name: str, weight: Callable) -> None:
-    def run(spark, d):
-        return ranking.weighted(_with_lengths(spark, d, _topics(spark, d)), weight(), 10)
-
-    run.__name__ = name
-    query(run)
+    _ranked(name, lambda spark, d, topics: ranking.weighted(_with_lengths(spark, d, topics), weight(), 10))
 
 
 MODELS = {"tf_sum": ranking.tf_weight, "tf_idf_robertson": ranking.robertson_tf_idf, "bm25": ranking.bm25, "hiemstra_lm": ranking.hiemstra, "dirichlet_lm": ranking.dirichlet}

@@ -211,3 +211,20 @@ def test_contract():
 
     names = entry.queries()
     assert "daat_cosine_topk" in names and set(entry.oracle_sql()) <= set(names)
+
+
+def test_whole_texts_rank_by_every_word(spark, tmp_path):
+    from tessera.plans import catalogue
+
+    texts = {1: "aa bb aa ff", 2: "hh gg hh ii", 3: "cc zz", 4: "zz yy", 5: "yy xx"}
+    asked = "aa bb cc dd ee ff gg hh hh"
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, asked)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    run = {k: [(r.doc_id, r.score) for r in catalogue.queries()[k](spark, str(tmp_path)).orderBy("rank").collect()] for k in ("daat_count_whole", "taat_count_whole", "daat_count")}
+    assert run["daat_count_whole"] == run["taat_count_whole"] == [(1, 3.0), (2, 3.0), (3, 1.0)]
+    assert run["daat_count"] == [(1, 3.0), (3, 1.0)]  # its SQL asks for six words
+    for name in ("vsm_rank", *catalogue.MODELS):
+        assert {r.doc_id for r in catalogue.queries()[f"{name}_whole"](spark, str(tmp_path)).collect()} == {1, 2, 3}
+    (row,) = catalogue.queries()["query_length_stats_whole"](spark, str(tmp_path)).collect()
+    assert (row.terms, row.min_postings) == (6, 6)
+    assert not {k for k in catalogue.oracle_sql() if k.endswith("_whole")}
