@@ -1,11 +1,11 @@
-"""MinHash near-duplicate groups through an LSH forest, confirmed on full shingle sets.
+"""MinHash near-duplicate groups through fixed LSH banding, confirmed on full shingle sets.
 
 1. *Sketch* each document (no shuffle): the number and a 128-bit fingerprint of its distinct k-word shingles,
    the keys of several trees (runs of minhashes) and a 2-bit-per-hash sketch. Documents with the same set are one from here on.
-2. *Forest*: per tree, documents are sorted by their signature order; those that share the first ``DEPTH`` hashes form a
-   region. In a region the neighbours by longest common prefix are compared by sketch. The depth adapts: a region that stays
-   dense down to its last level is taken as one candidate group as it is, which loses nothing, since
-   candidates only decide what is compared exactly.
+2. *Trees*, as fixed banding and not an LSH forest: documents that share the first ``DEPTH`` hashes of a tree form a region.
+   A region of up to ``DENSE`` rows is compared by sketch, all pairs; a larger one is taken as one candidate group as it is, which
+   loses nothing, since candidates only decide what is compared exactly. The deeper levels only order the rows of a region:
+   there are no prefix neighbours and the depth does not adapt.
 3. *Confirm*: candidate groups (connected candidates) meet their texts once, in tiles of bounded size; a group larger
    than a tile is laid out over all pairs of its blocks. In a tile an exact set-similarity join (rarest
    shingles first, prefix and length filters) finds every link between unconnected parts; links and not candidates make the components.
