@@ -10,14 +10,18 @@ all its shards to all documents costs the square of the corpus. There the spans
 1. Every window has an *anchor*, its smallest ``GRAM``-word hash, so equal windows have equal anchors. A document emits its distinct
    anchors (about one per 12 words), each with the hash of the widest context that its windows can span and the
    range of windows that chose it. Anchors are counted (pre-aggregated); those that occur once are done.
-2. Where all contexts of an anchor are equal, its windows are all repeated. Contexts that occur twice settle likewise.
-3. For contexts that remain unique, the windows of one representative of each context of that anchor are
+2. The windows of an anchor that occurs again are repeated, unless the context is the only one of its kind: where all contexts of an
+   anchor are equal nothing is left to do, elsewhere the contexts are counted, and the one row of each unique context is taken out again.
+3. For contexts so taken out, the windows of one representative of each context of that anchor are
    hashed (128 bits) and counted; they are a small part, at the ends of shared passages and beside edits.
-4. Spans meet the texts again by document. Hot anchors are aggregates or joins that Spark splits by size.
+4. Spans (with signs: put in, taken out) meet the texts again by document. The one join on a hot anchor is of two plain tables, of which
+   one has a single row for each anchor, so Spark splits its large side at run time; nothing is joined on contexts.
+
+A row's identity is its id and a hash of its text, or two hashes of its text where the id is null: rows that are alike in both are copies of each other, so all their windows are repeated.
 
 Defined cases: null and empty texts have no words; texts shorter than a window keep all; a document that repeats itself counts; rows that repeat an id are
-documents of their own only if told apart by text, and lose the spans of either; null ids are never removed from; an empty table gives an
-empty result; other columns are ignored by ``find_repeats`` and kept by ``remove_repeats``.
+documents of their own, as are rows with a null id: a text that stands in two rows is repeated, whatever their ids; an empty table gives an
+empty result; other columns are ignored by ``find_repeats`` and kept, under any name, by ``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, small_batches, table, tidied
@@ -50,10 +54,10 @@ def _sliding_argmin(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def _anchors(slab: Slab, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, anchor hash, context hash, first window, last window) of each anchor; window positions count from the row's first word."""
+    """(row, anchor hash, two context hashes, first window, last window) of each anchor; window positions count from the row's first word."""
     w = slab.word_hashes()
     n = len(w)
-    none = (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    none = (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
     if n < window:
         return none
     row = slab.word_rows()
@@ -73,78 +77,81 @@ def _anchors(slab: Slab, window: int, gram: int) -> tuple[np.ndarray, ...]:
     first, end = slab.first[row[pos]], slab.first[row[pos] + 1]
     reach = window - gram
     a, b = np.maximum(first, pos - reach), np.minimum(end, pos + window)
-    context = mix64(ranged(sums, a, b, _Q1) ^ ((pos - a).astype(U) * U(0x9FB21C651E98DF25)))
-    return row[pos], grams[pos], context, lo - first, hi - first
+    at = (pos - a).astype(U) * U(0x9FB21C651E98DF25)
+    context, second = mix64(ranged(sums, a, b, _Q1) ^ at), mix64(ranged(prefix(w, _Q2), a, b, _Q2) ^ at)
+    return row[pos], grams[pos], context, second, lo - first, hi - first
 
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, d, text) to a row per anchor: (id, d, v, f, g, lo, hi)."""
     for batch in batches:
-        for slab in slabs(batch.column(1)):
-            row, grams, context, lo, hi = _anchors(slab, window, gram)
+        for slab in slabs(batch.column(2)):
+            row, grams, context, second, lo, hi = _anchors(slab, window, gram)
             if len(row):
-                ids = batch.column(0).take(pa.array(row + slab.lo))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(grams.astype(np.int64)), pa.array(context.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["id", "v", "f", "lo", "hi"])
+                own = pa.array(row + slab.lo)
+                longs = [pa.array(grams.astype(np.int64)), pa.array(context.astype(np.int64)), pa.array((second >> U(32)).astype(np.uint32).view(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *longs, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["id", "d", "v", "f", "g", "lo", "hi"])
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text, ranges) to a row per window in the ranges: (id, at, h1, h2, alone)."""
+    """Rows (id, d, text, ranges) to a row per window in the ranges: (id, d, at, h1, h2, alone)."""
     for batch in batches:
-        ranges = batch.column(2)
-        for slab in slabs(batch.column(1)):
+        ranges = batch.column(3)
+        for slab in slabs(batch.column(2)):
             w = slab.word_hashes()
             s1, s2 = prefix(w, _Q1), prefix(w, _Q2)
             row, at, alone = [], [], []
             for r in range(slab.rows):
-                count = slab.first[r + 1] - slab.first[r]
                 for x in ranges[slab.lo + r].as_py():
-                    hi = min(x["hi"], count - window)  # of another text with the same id
-                    if hi >= x["lo"]:
-                        at.append(np.arange(x["lo"], hi + 1) + slab.first[r])
-                        row.append(np.full(hi + 1 - x["lo"], r))
-                        alone.append(np.full(hi + 1 - x["lo"], x["alone"]))
+                    at.append(np.arange(x["lo"], x["hi"] + 1) + slab.first[r])
+                    row.append(np.full(len(at[-1]), r))
+                    alone.append(np.full(len(at[-1]), x["alone"]))
             if not at:
                 continue
             row_a, at_a = np.concatenate(row), np.concatenate(at)
             h1, h2 = ranged(s1, at_a, at_a + window, _Q1), ranged(s2, at_a, at_a + window, _Q2)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row_a + slab.lo)), pa.array((at_a - slab.first[row_a]).astype(np.int32)), pa.array(h1.astype(np.int64)), pa.array(h2.astype(np.int64)), pa.array(np.concatenate(alone))], ["id", "at", "h1", "h2", "alone"])
+            own = pa.array(row_a + slab.lo)
+            hashes = [pa.array((at_a - slab.first[row_a]).astype(np.int32)), pa.array(h1.astype(np.int64)), pa.array(h2.astype(np.int64)), pa.array(np.concatenate(alone))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *hashes], ["id", "d", "at", "h1", "h2", "alone"])
+
+
+def identity(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """Two longs that tell rows apart, but for rows that share both id and text."""
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(F.lit(1), text)), F.xxhash64(text)
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, spans): per document with repeated windows, the (first, last) starts of runs of such windows, in words."""
+    """(id, d, spans): per ``identity`` with repeated windows, first and last starts of runs of windows with a sign; a window repeats where its signs add up to more than 0."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    anchors = materialize(docs.mapInArrow(tidied(lambda it: _emit_anchors(it, window, gram)), "id long, v long, f long, lo int, hi int"), "anchors")
-    shared = anchors.groupBy("v").agg(F.count("*").alias("n"), F.min("f").alias("f0"), F.max("f").alias("f1")).where("n > 1").select(F.col("v").alias("v_of"), (F.col("f0") == F.col("f1")).alias("same"))
+    id_, d = identity(docs["doc_id"], docs["text"])
+    docs = docs.select(id_.alias("id"), d.alias("d"), "text").where("text IS NOT NULL")
+    anchors = materialize(docs.mapInArrow(tidied(lambda it: _emit_anchors(it, window, gram)), "id long, d long, v long, f long, g int, lo int, hi int"), "anchors")
+    same = (F.min("f") == F.max("f")) & (F.min("g") == F.max("g"))
+    # written, so that the join below is of two plain tables and a hot anchor's rows can be split
+    shared = materialize(anchors.groupBy("v").agg(F.count("*").alias("n"), same.alias("same")).where("n > 1").select(F.col("v").alias("v_of"), "same"), "shared")
     again = materialize(anchors.join(shared, F.col("v") == F.col("v_of")).drop("v_of"), "shared-anchors")
-    settled = again.where("same").select("id", "lo", "hi")
-
-    mixed = again.where("NOT same")
-    contexts = materialize(mixed.groupBy("v", "f").agg(F.count("*").alias("n"), F.min(F.struct("id", "lo", "hi")).alias("one")), "contexts")
-    # each row meets its context's count, once
-    counts = contexts.select(F.col("v").alias("v_of"), F.col("f").alias("f_of"), "n")
-    counted = materialize(mixed.join(counts, (F.col("v") == F.col("v_of")) & (F.col("f") == F.col("f_of"))).select("id", "lo", "hi", "n"), "counted")
-    settled = settled.unionByName(counted.where("n > 1").select("id", "lo", "hi"))
-
-    asked = contexts.select(F.col("one.id").alias("id"), F.struct(F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), (F.col("n") == 1).alias("alone")).alias("x"))
-    asked = asked.groupBy("id").agg(F.collect_list("x").alias("ranges"))
-    windows = docs.join(asked, docs["doc_id"] == asked["id"]).select("id", "text", "ranges")
-    windows = materialize(windows.mapInArrow(tidied(lambda it: _emit_windows(it, window)), "id long, at int, h1 long, h2 long, alone boolean"), "windows")
+
+    own = [F.first(c).alias(c) for c in ("id", "d", "lo", "hi")]  # all of one row
+    contexts = materialize(again.where("NOT same").groupBy("v", "f", "g").agg(F.count("*").alias("n"), *own).select("id", "d", "lo", "hi", (F.col("n") == 1).alias("alone")), "contexts")
+    asked = contexts.groupBy("id", "d").agg(F.collect_list(F.struct("lo", "hi", "alone")).alias("ranges")).select(F.col("id").alias("id_of"), F.col("d").alias("d_of"), "ranges")
+    windows = docs.join(asked, (F.col("id") == F.col("id_of")) & (F.col("d") == F.col("d_of"))).select("id", "d", "text", "ranges")
+    windows = materialize(windows.mapInArrow(tidied(lambda it: _emit_windows(it, window)), "id long, d long, at int, h1 long, h2 long, alone boolean"), "windows")
     repeated = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("alone").alias("any")).where("n > 1 AND any").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"))
-    found = windows.where("alone").join(repeated, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).select("id", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return settled.unionByName(found).groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    found = windows.where("alone").join(materialize(repeated, "repeated"), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).select("id", "d", F.col("at").alias("lo"), F.col("at").alias("hi"), F.lit(1).alias("sign"))
+    signed = again.select("id", "d", "lo", "hi", F.lit(1).alias("sign")).unionByName(contexts.where("alone").select("id", "d", "lo", "hi", F.lit(-1).alias("sign"))).unionByName(found)
+    return signed.groupBy("id", "d").agg(F.collect_list(F.struct("lo", "hi", "sign")).alias("spans"))
 
 
-def _covered(slab: Slab, r: int, spans: list[dict] | None, window: int) -> np.ndarray:
-    """Which words of a row the spans' windows cover."""
-    n = int(slab.first[r + 1] - slab.first[r])
-    edges = np.zeros(n + 1, np.int32)
-    if spans:
-        lo = np.array([x["lo"] for x in spans])
-        hi = np.array([x["hi"] for x in spans]) + window
-        ok = hi <= n
-        np.add.at(edges, lo[ok], 1)
-        np.add.at(edges, hi[ok], -1)
-    return np.cumsum(edges[:-1]) > 0
+def _covered(n: int, spans: list[dict], window: int) -> np.ndarray:
+    """Which of a row's ``n`` words the repeated windows cover."""
+    signs, edges = np.zeros(n + 1, np.int64), np.zeros(n + window + 1, np.int64)
+    lo, hi, sign = (np.array([x[c] for x in spans]) for c in ("lo", "hi", "sign"))
+    np.add.at(signs, lo, sign)
+    np.add.at(signs, hi + 1, -sign)
+    starts = np.flatnonzero(np.cumsum(signs) > 0)
+    edges[starts] += 1
+    edges[starts + window] -= 1
+    return np.cumsum(edges)[:n] > 0
 
 
 def _remove(batches: Iterator[pa.RecordBatch], window: int, digest: bool) -> Iterator[pa.RecordBatch]:
@@ -155,7 +162,7 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, digest: bool) -> Ite
             for r in range(slab.rows):
                 n = int(slab.first[r + 1] - slab.first[r])
                 spans = batch.column(2)[slab.lo + r].as_py()
-                gone = int((drop := _covered(slab, r, spans, window)).sum()) if spans else 0
+                gone = int((drop := _covered(n, spans, window)).sum()) if spans else 0
                 n_words.append(n), n_removed.append(gone)
                 if digest or gone:
                     words = slab.words(r)
@@ -166,19 +173,22 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, digest: bool) -> Ite
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(slab.lo, slab.rows), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
+def _with_spans(docs: DataFrame, window: int) -> DataFrame:
+    """(r, spans): every row of ``docs`` as a struct, with its spans."""
+    spans = find_repeats(docs, window)
+    id_, d = identity(docs["doc_id"], docs["text"])
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("r"), id_.alias("row_id"), d.alias("row_d"))
+    return rows.join(spans, (F.col("row_id") == F.col("id")) & (F.col("row_d") == F.col("d")), "left").select("r", "spans")
+
+
 def removal_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per row of ``docs``."""
-    spans = find_repeats(docs, window)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.join(spans, rows["doc_id"] == spans["id"], "left").select("doc_id", "text", "spans")
+    rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window).select("r.doc_id", "r.text", "spans")
     return rows.mapInArrow(tidied(lambda it: _remove(it, window, True)), "doc_id long, n_words long, n_removed long, kept string").withColumnRenamed("kept", "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the repeated words gone from ``text``; its columns and their order stay."""
-    spans = find_repeats(docs, window).select(F.col("id").alias("_repeat_id"), F.col("spans").alias("_repeat_spans"))
-    rows = docs.join(spans, docs["doc_id"] == F.col("_repeat_id"), "left")
-
     columns = docs.columns
     at = columns.index("text")
 
@@ -188,7 +198,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             text = pa.concat_arrays([x.column(3) for x in _remove(iter([part]), window, False)] or [pa.array([], pa.string())])
             yield pa.RecordBatch.from_arrays([text if i == at else batch.column(i) for i in range(len(columns))], columns)
 
-    return rows.select(*[F.col(f"`{c}`") for c in columns], "_repeat_spans").mapInArrow(tidied(cut), docs.schema)
+    return _with_spans(docs, window).select(*[F.col("r").getField(c).alias(f"c{i}") for i, c in enumerate(columns)], "spans").mapInArrow(tidied(cut), docs.schema)
 
 
 class SuffixAutomaton:

@@ -21,7 +21,7 @@ def rows_of(spark, rows, schema=DOCS, extra=True):
     """A table with repartitioned rows, and extra columns whose names clash with the operators' own."""
     df = spark.createDataFrame(rows, schema)
     if extra:
-        for name in ("id", "n", "v", "component", "spans", "label", "print", "mix_id", "score", "kept"):
+        for name in ("id", "n", "v", "component", "spans", "label", "print", "mix_id", "score", "kept", "d", "r", "row_id", "mix_target", "mix_copies", "mix_of", "_kept_id", "_repeat_id", "size", "level", "w"):
             if name not in df.columns:
                 from pyspark.sql import functions as F
 
@@ -87,6 +87,17 @@ def test_substring_dedup_equals_brute_force(spark, seed):
     assert got == brute_repeats([(r[0], r[1]) for r in rows], substring.WINDOW)
 
 
+def test_substring_dedup_tells_rows_with_one_id_or_none_apart(spark):
+    texts = corpus(7, 60)
+    alone = " ".join(f"alone{i}" for i in range(60))
+    rows = [(i // 2 if i % 5 else None, t, "en", "s", 0) for i, t in enumerate(texts)]
+    rows += [(0, alone, "en", "s", 0), (None, texts[3], "en", "s", 0), (3, texts[7], "en", "s", 0), (3, texts[7], "en", "s", 0), (None, None, "en", "s", 0)]
+    want = brute_repeats(list(enumerate(r[1] for r in rows)), substring.WINDOW)
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring.removal_report(rows_of(spark, rows)).collect())
+    assert got == sorted((str(r[0]), *want[i]) for i, r in enumerate(rows))
+    assert any(r[0] == "0" and r[1] == 60 and r[2] == 0 for r in got)
+
+
 def test_remove_repeats_keeps_columns_and_untouched_texts(spark):
     docs = rows_of(spark, edge_docs(corpus(3)))
     out = substring.remove_repeats(docs)
