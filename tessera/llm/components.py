@@ -71,19 +71,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     now = materialize(edges.mapInArrow(_forest, "a long, b long"), "forest")
     seen = None
-    while True:
+    while now.head(1):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        # minima are written before they are joined: a hub's edges then meet one row of a plain table, and Spark can split them
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "minima")
         # large star: every larger neighbour of u goes to u's smallest
-        large = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = materialize(both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-stars")
         # small star: u and its smaller neighbours go to the smallest of them (edges point downwards now)
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"), "minima")
         moved = large.join(least, F.col("a") == F.col("u"))
         nxt = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
         now = materialize(nxt, "stars")
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(sums) == seen:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        if not sums[0]:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+            break
         seen = tuple(sums)
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component"))

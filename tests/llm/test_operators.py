@@ -189,8 +189,10 @@ def test_pipeline_near_duplicates_from_eighty_percent(spark):
 
 def test_minhash_trees_follow_the_threshold():
     assert minhash.trees_for(85) == minhash.TREES == minhash.trees_for(100)
-    assert (1 - 0.8**minhash.DEPTH) ** minhash.trees_for(80) <= minhash.MISS
-    assert minhash.trees_for(50) * (minhash.DEPTH + minhash.LEVELS) <= minhash.HASHES
+    assert (1 - 0.8 ** minhash.DEPTHS[0]) ** minhash.trees_for(80) <= minhash.MISS
+    assert minhash.trees_for(50) * minhash.DEPTHS[0] <= minhash.HASHES
+    picks = minhash.orders(17)
+    assert len(set(picks[:, : minhash.DEPTHS[0]].ravel().tolist())) == 17 * minhash.DEPTHS[0] and all(len(set(x)) == minhash.DEPTHS[-1] for x in picks.tolist())
 
 
 def test_components_of_paths_and_hubs(spark):
