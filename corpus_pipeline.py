@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import minhash, mixing, packing, quality, substring
-from tessera.llm.common import shared_dir, table
+from tessera.llm.common import materialize, shared_dir, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,11 +18,20 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (similarity of 0.8 or more): the one with the smallest id. Documents without an id all stay."""
-    kept = minhash.near_duplicates(docs, percent=80).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
-    columns = docs.columns
-    rows = docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept_id"), "left").where(F.col("_kept_id").isNotNull() | docs["doc_id"].isNull())
-    return rows.select(*[docs[f"`{c}`"] for c in columns])
+    """One document of each group of near duplicates (similarity of 0.8 or more): the one with the smallest id.
+
+    Rows that repeat both id and text, or the text where the id is null, are one row afterwards; rows with one id and different texts stay or go together.
+    """
+    kept = minhash.near_duplicates(docs, percent=80).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    key = ["row_id", "h", "g"]
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("row_id"), F.xxhash64(docs["text"]).alias("h"), F.xxhash64(F.lit(1), docs["text"]).alias("g"))
+    left = rows.join(kept, F.col("row_id") == F.col("kept_id"), "left").where("kept_id IS NOT NULL OR row_id IS NULL").drop("kept_id")
+    repeated = materialize(rows.groupBy(*key).count().where("count > 1").select(*[F.col(c).alias(f"{c}_of") for c in key]), "repeated-rows")
+    if repeated.head(1):
+        left = materialize(left, "kept-rows")
+        same = F.col("row_id").eqNullSafe(F.col("row_id_of")) & (F.col("h") == F.col("h_of")) & (F.col("g") == F.col("g_of"))
+        left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(key))
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
