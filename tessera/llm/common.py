@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.storage import materialize, shared_dir
+
+__all__ = ["materialize", "shared_dir", "small_batches", "table", "tidied"]
+
 BATCH_ROWS = 1000
-_own: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors see; only where that is unset, a temporary one."""
-    global _own
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if got:
-        return got.rstrip("/")
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, _own, ignore_errors=True)
-    return _own
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -3,11 +3,12 @@
 Writing and reading back are this module's own: chunks with CRC-32, one zlib stream over the IDAT
 chunks, and the five scanline filters undone by numpy. The hash is of the image's low frequencies:
 the samples averaged to 32 x 32, an orthonormal cosine transform, and the signs of its lowest 8 x 8
-coefficients (without the constant one) about their median.
+coefficients (without the constant one) about their median. The images are written to a table in a first job; a second one reads that
+table and computes everything else from the stored bytes.
 
 Defined cases: a null text is the empty one; the empty text is 64 zero samples; equal texts give equal
-values; very long texts are one tall image in memory of one task, in proportion to that text; a damaged
-file raises ``ValueError``.
+values; very long texts are one tall image in memory of one task, in proportion to that text; a null id is kept; rows that repeat an id
+each have their own image; an empty table gives an empty result; other columns are ignored; a damaged file raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import materialize, small_batches, table, tidied
 from tessera.llm.textscan import text_buffers
 
 WIDTH = 64
@@ -142,36 +143,48 @@ def cosine_hash(samples: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def _features(batches: Iterator[pa.RecordBatch], keep_media: bool) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) to (doc_id, n_bytes, media)."""
     for batch in batches:
         offsets, data = text_buffers(batch.column(1))
         ids, lo = batch.column(0), 0
         while lo < batch.num_rows:  # some 4 MB of text at a time
             hi = min(batch.num_rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (1 << 22), "right")) - 1))
-            out: list[list] = [[] for _ in range(8)]
-            for r in range(lo, hi):
-                raw = data[offsets[r] : offsets[r + 1]].tobytes()
-                media = png_encode(pad(raw))
-                samples = png_decode(media)
-                back = samples.tobytes()
-                mark = cosine_hash(samples)
-                for column, v in zip(out, (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), mark.hex(), media if keep_media else None)):
-                    column.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            columns = [ids.slice(lo, hi - lo), *(pa.array(c, t) for c, t in zip(out, kinds))]
-            yield pa.RecordBatch.from_arrays(columns[: 9 if keep_media else 8], _NAMES[: 9 if keep_media else 8])
+            sizes = np.diff(offsets[lo : hi + 1])
+            media = [png_encode(pad(data[offsets[r] : offsets[r + 1]].tobytes())) for r in range(lo, hi)]
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
             lo = hi
 
 
-_NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, n_bytes, media) with the features of the decoded bytes."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    for batch in batches:
+        out: list[list] = [[] for _ in kinds]
+        for x in batch.column(2):
+            media = x.as_py()
+            samples = png_decode(media)
+            back = samples.tobytes()
+            for column, v in zip(out, (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(samples).hex())):
+                column.append(v)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, kinds))], names)
+
+
+def store_media(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media): each document's text as a PNG in a binary column, written to the shared folder."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return materialize(rows.mapInArrow(tidied(_encoded), "doc_id long, n_bytes long, media binary"), "media")
 
 
-def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
-    """Each document's text as a PNG (``media``, binary) and what is computed from the stored bytes read back."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _features(it, keep_media), schema)
+def media_features(stored: DataFrame) -> DataFrame:
+    """What is computed from the stored bytes of ``store_media``, read back: damaged ones raise ``ValueError``."""
+    small_batches(stored.sparkSession)
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(tidied(_features), schema)
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests and hashes of every document's stored form."""
-    return media_columns(table(spark, sf_dir, "documents"), keep_media=False)
+    return media_features(store_media(table(spark, sf_dir, "documents")))

@@ -6,7 +6,7 @@ seed falls below the rate's fraction. Only (id, source, size) is shuffled, never
 the per-source table is an ordinary one, which Spark broadcasts or splits by measured sizes.
 
 Defined cases: null texts have size 0; a null source is a source of its own, last in order; rows that
-repeat an id decide alike; a source of size 0 has target 0; an empty table gives an empty mix; other
+repeat an id decide alike; a very long text is counted whole, in memory of one task in proportion to it; a source of size 0 has target 0; an empty table gives an empty mix; other
 columns are carried by ``mix`` untouched, whatever their names.
 """
 
@@ -41,7 +41,7 @@ def source_targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     per = (
         per.withColumn("left", F.sum("mix_source_size").over(everything) - F.sum("cap").over(rising.rowsBetween(Window.unboundedPreceding, 0)) + F.col("cap"))
         .withColumn("w_left", F.sum("w").over(rising.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("free", F.col("cap") * F.col("w_left") > F.col("left") * F.col("w"))
+        .withColumn("free", F.col("cap").cast("decimal(28,0)") * F.col("w_left").cast("decimal(9,0)") > F.col("left").cast("decimal(28,0)") * F.col("w").cast("decimal(9,0)"))
         .withColumn("level", F.min(F.when(F.col("free"), F.struct(-F.col("w_left"), "left", "w_left"))).over(everything))
     )
     target = F.when(F.col("free"), (F.col("level.left") * F.col("w")).cast("double") / F.col("level.w_left")).otherwise(F.col("cap").cast("double"))
@@ -71,14 +71,14 @@ def _decided(sized: DataFrame, seed: int, most: int) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 0, most: int = MOST) -> DataFrame:
     """The mix itself: each row of ``docs``, with its columns, as many times as decided."""
-    columns = docs.columns
     sizes = materialize(docs.select(F.col("source").alias("mix_source"), word_count(F.col("text")).alias("mix_size")).groupBy("mix_source").agg(F.sum("mix_size").alias("mix_size")), "mix-sources")
     targets = source_targets(sizes, most).withColumnRenamed("mix_source", "mix_of")
     rate = F.coalesce(F.try_divide(F.col("mix_target"), F.col("mix_source_size").cast("double")), F.lit(0.0))
     whole = F.floor(rate)
-    copies = (whole + F.when(fraction_of(docs["doc_id"], seed) < rate - whole, 1).otherwise(0)).cast("int")
-    rows = docs.join(targets, docs["source"].eqNullSafe(F.col("mix_of"))).withColumn("mix_copies", copies).where("mix_copies > 0")
-    return rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[F.col(f"`{c}`") for c in columns])
+    copies = (whole + F.when(fraction_of(F.col("mix_id"), seed) < rate - whole, 1).otherwise(0)).cast("int")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("mix_row"), docs["doc_id"].alias("mix_id"), docs["source"].alias("mix_source"))
+    rows = rows.join(targets, F.col("mix_source").eqNullSafe(F.col("mix_of"))).withColumn("mix_copies", copies).where("mix_copies > 0")
+    return rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[F.col("mix_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

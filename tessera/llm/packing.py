@@ -9,7 +9,8 @@ and a piece goes to the open sequence where it fits under every one of them and
 after it is least (or their dot-product with the piece's demands is largest). Only lengths are shuffled there, never ids.
 
 Defined cases: a null or empty text is the end token alone; documents longer than a sequence are cut; repeated rows are documents
-of their own (their pieces share doc_id and piece); a null id is kept; an empty table gives no sequences.
+of their own (their pieces share doc_id and piece); a null id is kept; very long texts are tokenised whole, in memory of one task; an empty table gives no sequences;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -234,7 +235,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, most_docs: int = CAPACITY,
     pieces = materialize(pieces, "pieces")
     bins = max(1, math.ceil(pieces.count() / BIN_PIECES))
     columns = pieces.columns
-    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(bins))
+    # a row's place in the written table is in the hash, so that many copies of one row are dealt out too
+    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(bins))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")

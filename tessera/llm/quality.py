@@ -1,19 +1,21 @@
 """Quality classifier by co-training of two views.
 
 One view sees a document's text content (shares of character classes, repetition of words and of pairs, word lengths, lines), the other its page
-metadata (source, language, declared length). Each is a logistic regression; over ``ROUNDS`` rounds each labels the rows of an unlabelled pool it
-is confident of for the other, at most ``GROW`` of either label a round. Both are then calibrated (Platt) on a fold neither has seen,
+metadata (source, language, declared length, also by classes of length). Each is a logistic regression; over ``ROUNDS`` rounds each labels for the other the rows of an
+unlabelled pool it is surest of: of either label at most ``GROW`` a round, and of the pool the share ``SUREST`` that it puts highest, or lowest, times that label's share of
+the labelled rows. A pseudo-label weighs what its view has earned: twice its area under the ROC curve less one, found by cross-validation on
+labelled rows, so a view that knows nothing hands over labels that weigh nothing. Both are then calibrated (Platt) on a fold neither has seen,
 and a last logistic regression combines the calibrated views. Fitting uses at most ``LABELLED_ROWS`` labelled and ``POOL_ROWS``
-unlabelled rows, both by a hash of the id; scoring covers every document, without a shuffle.
+unlabelled rows, both by a hash of the id, so neither grows with the corpus; scoring covers every document, without a shuffle.
 
 Defined cases: null and empty texts have the features of an empty text; null metadata is a value of its own; with one label only, or none, every score is near that label's
-rate (0.5 for none); an id with both labels is not fitted on; rows that repeat an id are scored by their own texts; an empty table gives an
+rate (0.5 for none); a very long text is measured whole, in memory of one task; sources that the fitted rows do not hold share one feature; an id with both labels is not fitted on; rows that repeat an id are scored by their own texts; an empty table gives an
 empty result; other columns are ignored by ``score_quality`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,17 +24,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, small_batches, table, tidied
-from tessera.llm.learn import LABELLED_ROWS, Logistic, fold_of, labelled_sample
+from tessera.llm.learn import LABELLED_ROWS, Logistic, auc, fold_of, labelled_sample
 from tessera.llm.textscan import U, mix64, slabs
 
-POOL_ROWS, ROUNDS, GROW, CONFIDENT = 10_000, 4, 500, 0.97
+POOL_ROWS, ROUNDS, GROW, SUREST = 10_000, 4, 500, 0.2
+#: Sources with a feature of their own, the most frequent of the fitted rows; all others share one.
+SOURCES = 256
+LENGTHS = (50, 100, 200, 400, 800, 1600, 3200, 6400, 12800)
 THRESHOLD = 0.5
 _CLASSES = {"upper": range(65, 91), "digit": range(48, 58), "mark": b"#$%&*@^~_=+<>{}[]\\", "bang": b"!?", "bar": b"|", "stop": b".,;:", "line": b"\n", "space": b" \t", "wide": range(128, 256)}
 _CODE = np.zeros(256, np.uint8)
 for _k, _bytes in enumerate(_CLASSES.values(), 1):
     _CODE[list(_bytes)] = _k
 N_CLASSES = len(_CLASSES) + 1
-N_TEXT, N_META = N_CLASSES - 1 + 8, 3 + 32 + 16
+N_TEXT = N_CLASSES - 1 + 8
 
 
 def text_features(column: pa.Array) -> np.ndarray:
@@ -74,17 +79,19 @@ def text_features(column: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, N_TEXT))
 
 
-def meta_features(source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> np.ndarray:
-    """A row of N_META features per document: one-hot by hash, and the declared length."""
-    n = len(source)
-    f = np.zeros((n, N_META))
+def meta_features(source: pa.Array, lang: pa.Array, n_chars: pa.Array, sources: Sequence[str]) -> np.ndarray:
+    """A row of features per document: the declared length and its class, language by hash, and source (one of ``sources``, another, or null)."""
+    n, at = len(source), 2 + len(LENGTHS) + 1
+    f = np.zeros((n, at + 16 + len(sources) + 2))
     length = n_chars.cast(pa.float64()).fill_null(-1.0).to_numpy(zero_copy_only=False)
-    f[:, 0], f[:, 1], f[:, 2] = np.log1p(np.maximum(length, 0)), length < 0, length < 200
-    for column, at, size in ((source, 3, 32), (lang, 35, 16)):
+    f[:, 0], f[:, 1] = np.log1p(np.maximum(length, 0)), length < 0
+    f[np.arange(n), 2 + np.searchsorted(LENGTHS, length, "right")] = 1
+    place = {s: i for i, s in enumerate(sources)}
+    for column, first, slot, null in ((lang, at, lambda v: _slot(v, 16), 0), (source, at + 16, lambda v: place.get(v, len(sources)), len(sources) + 1)):
         coded = column.dictionary_encode()
-        slots = np.array([_slot(v, size) for v in coded.dictionary.to_pylist()] + [0], int)
+        slots = np.array([slot(v) for v in coded.dictionary.to_pylist()] + [null], int)
         index = coded.indices.fill_null(len(slots) - 1).to_numpy(zero_copy_only=False)
-        f[np.arange(n), at + slots[index]] = 1
+        f[np.arange(n), first + slots[index]] = 1
     return f
 
 
@@ -103,6 +110,9 @@ class CoTrained:
     text_scale: Logistic
     meta_scale: Logistic
     both: Logistic
+    sources: Sequence[str] = ()
+    handed: Sequence[Sequence[int]] = ()  # pseudo-labels of 0 and of 1 that the text view gave, and the metadata view
+    earned: Sequence[float] = ()  # what a pseudo-label of the text view weighs, and of the metadata view
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of quality: text view, metadata view, combined."""
@@ -117,27 +127,38 @@ def cotrain(text: np.ndarray, meta: np.ndarray, label: np.ndarray, calibrate: np
     pool = label < 0
     views = (text, meta)
     extra: list[dict[int, int]] = [{}, {}]  # pool rows that the other view labelled
+    earned = [_earned(x[known], label[known]) for x in views]
+    share = float(label[known].mean()) if known.any() else 0.5
 
     def fit(v: int) -> Logistic:
         rows = np.concatenate([np.flatnonzero(known), np.array(list(extra[v]), int)])
         y = np.concatenate([label[known], np.array(list(extra[v].values()), int)]).astype(float)
-        weight = np.concatenate([np.ones(known.sum()), np.full(len(extra[v]), 0.5)])
+        weight = np.concatenate([np.ones(known.sum()), np.full(len(extra[v]), earned[1 - v])])
         return Logistic().fit(views[v][rows], y, weight)
 
     models = [fit(0), fit(1)]
+    unlabelled = np.flatnonzero(pool)
     for _ in range(ROUNDS):
         for v in (0, 1):
-            p = models[v].probability(views[v])
-            for y, sure in ((1, p), (0, 1 - p)):
-                rows = np.flatnonzero(pool & (sure >= CONFIDENT))
-                rows = np.array([r for r in rows[np.argsort(-sure[rows], kind="stable")].tolist() if r not in extra[1 - v]][:GROW], int)
-                extra[1 - v].update({r: y for r in rows.tolist()})
+            p = models[v].probability(views[v][unlabelled])
+            for y, sure, part in ((1, p, share), (0, 1 - p, 1 - share)):
+                most = min(GROW, int(len(unlabelled) * SUREST * part))
+                rows = unlabelled[np.argsort(-sure, kind="stable")[: ROUNDS * most]].tolist()
+                extra[1 - v].update({r: y for r in [r for r in rows if r not in extra[1 - v]][:most]})
         models = [fit(0), fit(1)]
     held = (label >= 0) & calibrate
     y = label[held].astype(float)
     scales = [Logistic(0.1).fit(models[v].margin(views[v][held])[:, None], y) for v in (0, 1)]
     margins = np.column_stack([scales[v].margin(models[v].margin(views[v][held])[:, None]) for v in (0, 1)])
-    return CoTrained(models[0], models[1], scales[0], scales[1], Logistic(0.1).fit(margins, y))
+    handed = [[sum(y == k for y in extra[1 - v].values()) for k in (0, 1)] for v in (0, 1)]
+    return CoTrained(models[0], models[1], scales[0], scales[1], Logistic(0.1).fit(margins, y), handed=handed, earned=earned)
+
+
+def _earned(x: np.ndarray, y: np.ndarray) -> float:
+    """Twice the area under the ROC curve of a view, less one, by cross-validation in two halves; 0 where it can't be found."""
+    half = np.arange(len(y)) % 2 == 0
+    got = [auc(Logistic().fit(x[~h], y[~h].astype(float)).probability(x[h]), y[h]) for h in (half, ~half) if len(y) > 1]
+    return float(np.clip(2 * np.mean(got) - 1, 0, 1)) if got and not np.isnan(got).any() else 0.0
 
 
 def _columns(docs: DataFrame) -> list:
@@ -157,20 +178,27 @@ def train_quality(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS,
     chosen = ids.orderBy("order", "doc_id").limit(pool).select(F.col("doc_id").alias("label_id")).distinct().withColumn("label", F.lit(-1)).withColumn("fold", F.lit(0).cast("long"))
     every = sample.unionByName(chosen.where(fold_of(F.col("label_id")) != 2).join(F.broadcast(sample.select("label_id")), "label_id", "left_anti"))
     taken = materialize(every, "quality-ids")  # at most ``most + pool`` rows
+    known = rows.join(F.broadcast(taken), F.col("doc_id") == F.col("label_id")).where("source IS NOT NULL").groupBy("source").count()
+    sources = tuple(r["source"] for r in known.orderBy(F.desc("count"), "source").limit(SOURCES).collect())
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, m = text_features(batch.column(2)), meta_features(batch.column(3), batch.column(4), batch.column(5))
+            x, m = text_features(batch.column(2)), meta_features(batch.column(3), batch.column(4), batch.column(5), sources)
             packed = [np.concatenate([a, b]).astype("<f4").tobytes() for a, b in zip(x, m)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["label", "fold", "x"])
-
-    joined = rows.join(F.broadcast(taken), F.col("doc_id") == F.col("label_id")).select("label", "fold", "text", "source", "lang", "n_chars")
-    got = joined.mapInArrow(tidied(features), "label int, fold long, x binary").toArrow()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), "<f4").reshape(-1, N_TEXT + N_META).astype(float)
-    order = np.lexsort(x.T[:4])  # the same rows in the same order whatever the partitions
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(6), pa.array(packed, pa.binary())], ["label", "fold", "id", "x"])
+
+    joined = rows.join(F.broadcast(taken), F.col("doc_id") == F.col("label_id")).select("label", "fold", "text", "source", "lang", "n_chars", "doc_id")
+    got = joined.mapInArrow(tidied(features), "label int, fold long, id long, x binary").toArrow()
+    rows_x = got.column("x").to_pylist()
+    width = N_TEXT + meta_features(pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.int64()), sources).shape[1]
+    x = np.frombuffer(b"".join(rows_x), "<f4").reshape(-1, width).astype(float)
+    ids = got.column("id").to_pylist()
+    order = np.array(sorted(range(len(x)), key=lambda i: (ids[i], rows_x[i])), int)  # the same rows in the same order whatever the partitions
     label, fold = got.column("label").to_numpy()[order], got.column("fold").to_numpy()[order]
     x = x[order]
-    return cotrain(x[:, :N_TEXT], x[:, N_TEXT:], label, fold == 3)
+    model = cotrain(x[:, :N_TEXT], x[:, N_TEXT:], label, fold == 3)
+    model.sources = sources
+    return model
 
 
 def score_quality(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:
@@ -180,7 +208,7 @@ def score_quality(docs: DataFrame, model: CoTrained, threshold: float = THRESHOL
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, p = model.scores(text_features(batch.column(2)), meta_features(batch.column(3), batch.column(4), batch.column(5)))
+            a, b, p = model.scores(text_features(batch.column(2)), meta_features(batch.column(3), batch.column(4), batch.column(5), model.sources))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a), pa.array(b), pa.array(p), pa.array(p >= threshold)], ["doc_id", "held_out", "text_score", "meta_score", "score", "kept"])
 
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(fold_of(doc_id) == 2, F.lit(False)).alias("held_out"), *_columns(docs))
@@ -195,10 +223,10 @@ def keep_good(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = model.scores(text_features(batch.column(at)), meta_features(batch.column(at + 1), batch.column(at + 2), batch.column(at + 3)))[2]
+            p = model.scores(text_features(batch.column(at)), meta_features(batch.column(at + 1), batch.column(at + 2), batch.column(at + 3), model.sources))[2]
             yield pa.RecordBatch.from_arrays(batch.columns[:at], columns).filter(pa.array(p >= threshold))
 
-    wide = [F.col(f"`{c}`") for c in columns] + [c.alias(f"_quality_{i}") for i, c in enumerate(_columns(docs))]
+    wide = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)] + [c.alias(f"q{i}") for i, c in enumerate(_columns(docs))]
     return docs.select(*wide).mapInArrow(tidied(judge), docs.schema)
 
 

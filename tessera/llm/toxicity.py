@@ -1,19 +1,21 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick after folding.
 
-Folding lower-cases, maps look-alike letters of other scripts and digits to the letters they stand for, and turns what is no letter into single
-spaces. The lexicon is learned: from at most ``LABELLED_ROWS`` labelled rows, words and word beginnings are weighted by
+Folding lower-cases, takes accents away, maps look-alike letters of other scripts, digits and signs to the letters they stand for (1, l, i, | and an inner ! are one
+letter, as are @, 4 and a, or $, 5 and s), closes up words that are spaced out letter by letter, and turns what is no letter into single
+spaces. Terms and exception phrases are folded by the same map. The lexicon is learned: from at most ``LABELLED_ROWS`` labelled rows, words and word beginnings are weighted by
 their log-odds between toxic and other documents (folds 0 and 1); a logistic calibration on fold 3 turns
 weight per length, total weight and distinct terms into the score. Where phrases of ``EXCEPTIONS`` stand, the terms in them don't
 count. Only the lexicon (at most ``TERMS`` entries) and four numbers travel to the tasks; scoring has no shuffle.
 
 Defined cases: null and empty texts have no hits and get the score of such; a missing class gives scores near the other's rate;
 rows that repeat an id are scored alike if their texts are alike; labels for unknown ids are ignored, and of an id with both labels neither counts; a null id
-is scored, held_out false; an empty table gives an empty result.
+is scored, held_out false; very long texts are folded whole, in memory of one task; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -33,14 +35,26 @@ LEAST_TOXIC, LEAST_PRECISION = 6, 0.85
 THRESHOLD = 0.3
 EXCEPTIONS: tuple[str, ...] = ("trash can", "trash bin", "trash collection", "clown fish", "clown car", "pond scum", "stupid simple")
 _LOOKALIKE = dict(zip("аеорсухівкмнтьѕјԁɡɩοαερτυνκικβ", "aeopcyxibkmhtbsjdgioaeptuvkikb"))
-_DIGITS = dict(zip("013457", "oleast"))
-_FOLD = {ord(k): v for k, v in (_LOOKALIKE | _DIGITS).items()}
+#: Characters that stand for one letter are one class; i, l, 1 and | are all written i.
+_CLASSES = {"o": "0", "i": "1l|", "e": "3", "a": "4@", "s": "5$", "t": "7", "b": "8", "g": "9"}
+_FOLD = {ord(k): ("i" if v == "l" else v) for k, v in _LOOKALIKE.items()} | {ord(k): v for v, ks in _CLASSES.items() for k in ks}
 _LETTERS = re.compile(r"[^\W\d_]+")
+_INNER = re.compile(r"(?<=[^\W\d_])!(?=[^\W\d_])")
+_MARKS = re.compile("[\u0300-\u036f\u200b-\u200d\u00ad]+")
+#: Letters spaced out one by one ("s t u p i d", "s.t.u.p.i.d"), and short runs of letters with marks between them ("st.u.p.i.d").
+_SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[ .*_-][^\W\d_]){3,}(?![^\W\d_])|(?<![^\W\d_])[^\W\d_]{1,3}(?:[.*_-][^\W\d_]{1,2}){2,}(?![^\W\d_])")
+_GAPS = re.compile(r"[ .*_-]")
 
 
 def fold_text(text: str) -> list[str]:
     """The folded words of a text."""
-    return _LETTERS.findall(text.lower().translate(_FOLD))
+    text = text.lower()
+    if not text.isascii():
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+    text = text.translate(_FOLD)
+    if "!" in text:
+        text = _INNER.sub("i", text)
+    return _LETTERS.findall(_SPACED.sub(lambda m: _GAPS.sub("", m[0]), text))
 
 
 @dataclass
@@ -63,11 +77,15 @@ class Lexicon:
         if self._automaton is None:
             found = ahocorasick.Automaton()
             for term, weight in self.weights.items():
-                pattern = f" {term[:-1]}" if term.endswith("*") else f" {term} "
-                found.add_word(pattern, (len(pattern), weight, term))
+                folded = " ".join(fold_text(term.removesuffix("*")))
+                if folded:
+                    pattern = f" {folded}" if term.endswith("*") else f" {folded} "
+                    found.add_word(pattern, (len(pattern), weight, term))
             for phrase in self.exceptions:
-                pattern = f" {phrase} "
-                found.add_word(pattern, (len(pattern), None, phrase))
+                folded = " ".join(fold_text(phrase))
+                if folded:
+                    pattern = f" {folded} "
+                    found.add_word(pattern, (len(pattern), None, phrase))
             found.make_automaton() if len(found) else None
             self._automaton = found
         return self._automaton

@@ -9,7 +9,7 @@ Of records with equal payloads of at least ``LEAST`` bytes the one with the smal
 revisit it. The digests are shuffled (32 bytes a record), payloads once, to their archives of bounded size.
 
 Defined cases: a null payload is the empty one; records with the same id and payload are all responses or all revisits
-of another id; a null id is written as ``null``, is never referred to, and revisits like any other; an archive with a wrong magic number,
+of another id; a page larger than an archive's bound is an archive of its own, in memory of one task in proportion to it; other columns are ignored; a null id is written as ``null``, is never referred to, and revisits like any other; an archive with a wrong magic number,
 a missing dictionary, headers without their required fields, or wrong lengths or digests raises ``ValueError``;
 an empty table gives no archives and no rows.
 """
@@ -96,6 +96,31 @@ class ArchiveWriter:
         return b"".join(self.parts)
 
 
+def frame_end(data: memoryview, at: int) -> int:
+    """Where the Zstandard frame that begins at ``at`` ends, from its header and the sizes of its blocks; nothing is decompressed."""
+    try:
+        magic = struct.unpack_from("<I", data, at)[0]
+        if magic & 0xFFFFFFF0 == 0x184D2A50:
+            end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
+        elif magic != 0xFD2FB528:
+            raise ValueError("WARC: no frame where one should begin")
+        else:
+            flags = data[at + 4]
+            single = flags >> 5 & 1
+            end = at + 5 + (1 - single) + (0, 1, 2, 4)[flags & 3] + ((1 if single else 0), 2, 4, 8)[flags >> 6]
+            last = 0
+            while not last:
+                block = data[end] | data[end + 1] << 8 | data[end + 2] << 16
+                last = block & 1
+                end += 3 + (1 if block >> 1 & 3 == 1 else block >> 3)  # a run-length block holds one byte
+            end += 4 * (flags >> 2 & 1)
+    except (struct.error, IndexError) as e:
+        raise ValueError("WARC: frame cut short") from e
+    if end > len(data):
+        raise ValueError("WARC: frame cut short")
+    return end
+
+
 def read_archive(data: bytes) -> Iterator[dict]:
     """Records of one archive, frame by frame."""
     if len(data) < 8 or struct.unpack_from("<I", data)[0] != _SKIPPABLE:
@@ -106,17 +131,17 @@ def read_archive(data: bytes) -> Iterator[dict]:
     dictionary = data[8 : 8 + n]
     if dictionary[:4] == b"\x28\xb5\x2f\xfd":  # a dictionary that is compressed itself
         dictionary = zstandard.ZstdDecompressor().decompress(dictionary)
-    codec, rest = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)), memoryview(data)[8 + n :]
-    while rest:
+    codec, view, at = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)), memoryview(data), 8 + n
+    while at < len(view):
+        end = frame_end(view, at)
         frame = codec.decompressobj()
         try:
-            record = frame.decompress(rest)
+            record = frame.decompress(view[at:end])
         except zstandard.ZstdError as e:
             raise ValueError(f"WARC: {e}") from e
         if not frame.eof:
             raise ValueError("WARC: frame cut short")
-        left = len(frame.unused_data)
-        rest = rest[len(rest) - left :] if left else rest[:0]
+        at = end
         yield decode_record(record)
 
 
@@ -125,7 +150,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     first = rows.where(F.octet_length("html") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("of"), "first")
-    sample = [r[0].encode() for r in rows.select("html").limit(DICTIONARY_SAMPLE).collect()]  # only the coding ratio depends on it
+    sample = [r[0].encode() for r in rows.select(F.substring("html", 1, 8192)).limit(DICTIONARY_SAMPLE).collect()]  # only the coding ratio depends on it: at most 8192 characters of each of these pages
     dictionary = dictionary_of([encode_record("response", 0, "", x, "0" * 64, None) for x in sample if x])
     chosen = rows.join(first, F.col("digest") == F.col("of"), "left").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
