@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm import minhash, mixing, packing, quality, substring
 from tessera.llm.common import materialize, shared_dir, table
+from tessera.storage import remove, remove_tables, tables_written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier does not reject. It is fitted on labelled rows among ``docs``."""
+    """Documents that the co-trained classifier does not reject. It is fitted on labelled rows among ``docs``.
+
+    Null and empty texts are judged as empty texts; repeated rows alike; an empty table stays empty; other columns are kept.
+    """
     return quality.keep_good(docs, quality.train_quality(docs, table(spark, sf_dir, "labels")))
 
 
@@ -35,17 +39,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of passages that occur elsewhere too."""
+    """Texts without the words of passages that occur elsewhere too.
+
+    Null texts stay null; a text that loses all of its words is empty; a row that repeats another's text loses its windows as that one does.
+    """
     return substring.remove_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight asks."""
+    """Each document as often as its source's target weight asks.
+
+    Null texts and a null source count as ``mixing`` says; rows that repeat an id are repeated alike; an empty table stays empty.
+    """
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in sequences of at most 4096 tokens."""
+    """The place of every piece of every document in sequences of at most 4096 tokens.
+
+    Null and empty texts are the end token alone; copies that the mix made are documents of their own; an empty table gives no sequences.
+    """
     return packing.pack(packing.tokenize(docs))
 
 
@@ -62,11 +75,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again; what a stage has read and its own intermediate tables are deleted then."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
+        before = tables_written()
         done = stage(spark, docs, sf_dir)
         done.write.parquet(f"{base}/{k}")
         docs = spark.read.schema(done.schema).parquet(f"{base}/{k}")
+        remove_tables(spark, before)
+        if k:
+            remove(spark, f"{base}/{k - 1}")
     return docs
