@@ -26,10 +26,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that repeat both id and text, or the text where the id is null, are one row afterwards; rows with one id and different texts stay or go together.
     """
-    kept = minhash.near_duplicates(docs, percent=80).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    dropped = minhash.near_duplicates(docs, percent=80).where("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct()
+    dropped = materialize(dropped, "dropped-ids")  # few, and of a known size: the texts are shuffled only where it is large
     key = ["row_id", "h", "g"]
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("row_id"), F.xxhash64(docs["text"]).alias("h"), F.xxhash64(F.lit(1), docs["text"]).alias("g"))
-    left = rows.join(kept, F.col("row_id") == F.col("kept_id"), "left").where("kept_id IS NOT NULL OR row_id IS NULL").drop("kept_id")
+    left = rows.join(dropped, F.col("row_id") == F.col("dropped_id"), "left_anti")
     repeated = materialize(rows.groupBy(*key).count().where("count > 1").select(*[F.col(c).alias(f"{c}_of") for c in key]), "repeated-rows")
     if repeated.head(1):
         left = materialize(left, "kept-rows")
