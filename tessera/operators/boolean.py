@@ -139,13 +139,13 @@ PATTERNS = {
 }
 
 
-def batch(postings: DataFrame, log: DataFrame, pattern: str) -> DataFrame:
+def batch(postings: DataFrame, log: DataFrame, pattern: str, vocab: DataFrame | None = None) -> DataFrame:
     """(qid, doc_id) of a whole log (qid, terms) of two- or three-term queries under one pattern, in one plan.
 
-    Queries of another length, or with a term outside the vocabulary, are left out, as the timing runs do.
+    Queries of another length, or with a term outside the vocabulary (``vocab``, or else the postings' terms), are left out, as the timing runs do.
     """
     n = 2 if pattern in ("and", "or", "and_not") else 3
     asked = log.where(F.size("terms") == n).select("qid", F.posexplode("terms").alias("at", "term"))
-    known = asked.join(postings.select("term").distinct(), "term", "left_semi").groupBy("qid").agg(F.count("*").alias("known")).where(F.col("known") == n).select("qid")
+    known = asked.join(postings.select("term").distinct() if vocab is None else vocab.select("term"), "term", "left_semi").groupBy("qid").agg(F.count("*").alias("known")).where(F.col("known") == n).select("qid")
     hits = postings.join(asked.join(known, "qid", "left_semi"), "term").groupBy("qid", "doc_id").agg(*[F.max(F.col("at") == i).alias(f"h{i}") for i in range(3)])
     return hits.where(PATTERNS[pattern](F.col("h0"), F.col("h1"), F.col("h2"))).select("qid", "doc_id")

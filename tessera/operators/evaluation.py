@@ -60,6 +60,15 @@ def measures(run: DataFrame, qrels: DataFrame, cut: int = 10) -> DataFrame:
     )
 
 
+def recall_at(run: DataFrame, qrels: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
+    """(keys, cut, recall) at several cuts in one pass over the run."""
+    keys = _keys(run)
+    points = at_rank(run, qrels).groupBy(*keys).agg(F.first("n_rel").alias("n_rel"), *[F.sum(F.when(F.col("rank") <= c, F.col("rel")).otherwise(0)).alias(f"c{c}") for c in cuts])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("cut"), F.col(f"c{c}").alias("hits")) for c in cuts]))
+    rows = points.select(*keys, "n_rel", each.alias("x"))
+    return rows.select(*keys, "x.cut", F.coalesce(F.try_divide(F.col("x.hits").cast("double"), F.col("n_rel")), F.lit(0.0)).alias("recall"))
+
+
 def long_form(per_query: DataFrame, names: list[str]) -> DataFrame:
     """(.., measure, value) rows of chosen measures."""
     keys = [c for c in ("name", "qid") if c in per_query.columns]

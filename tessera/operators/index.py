@@ -113,8 +113,30 @@ def block_sort_chunks(postings: DataFrame, tuples: int) -> DataFrame:
     return per_doc.repartition(1).sortWithinPartitions("doc_id").mapInPandas(walk, "doc_id long, chunk long")
 
 
+def block_sort_tuples(postings: DataFrame, ids: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The build's runs: (chunk, term_id, doc_id, tf), each chunk sorted by term and document. Chunks are dealt over the tasks; each is bounded by its tuples."""
+    rows = postings.join(ids, "term").join(chunks, "doc_id").select("chunk", "term_id", "doc_id", "tf")
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "term_id", "doc_id")
+
+
+def block_sort_merge(runs: DataFrame) -> DataFrame:
+    """The runs merged: (term_id, doc_id, tf, chunk), by ranges of terms and sorted within them."""
+    return runs.repartitionByRange("term_id", "doc_id").sortWithinPartitions("term_id", "doc_id").select("term_id", "doc_id", "tf", "chunk")
+
+
+def block_sort_sensitivity(postings: DataFrame, percents: tuple[int, ...] = (10, 20, 30, 50, 60, 80, 100)) -> DataFrame:
+    """(percent, tuples, n_chunks): how many chunks a build makes where a chunk holds that share of all tuples."""
+    total = postings.count()
+    out = None
+    for percent in percents:
+        tuples = max(1, total * percent // 100)
+        row = block_sort_chunks(postings, tuples).agg(F.coalesce(F.max("chunk"), F.lit(0)).alias("n_chunks")).select(F.lit(percent).alias("percent"), F.lit(tuples).cast("long").alias("tuples"), "n_chunks")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def write_index(postings: DataFrame, docs: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Store postings range-partitioned and sorted by (term, doc_id), with vocabulary, documents and norms.
+    """Store postings range-partitioned and sorted by (term, doc_id), with vocabulary, documents and collection statistics.
 
     Sorted files give row-group statistics that prune scans for a term.
     """

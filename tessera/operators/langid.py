@@ -69,8 +69,8 @@ def chain_scores(train: DataFrame, test: DataFrame) -> DataFrame:
     matrix = transitions(train)
     alphabet = train.select("lang", F.explode(F.array_distinct(T.letters(F.col("text")))).alias("letter")).distinct()
     pairs = test.select("id", F.explode(_pairs(F.split("text", ""))).alias("p")).groupBy("id", "p.a", "p.b").agg(F.count("*").alias("n"))
-    inside = pairs.join(F.broadcast(alphabet.withColumnRenamed("letter", "a")), "a").join(F.broadcast(alphabet.withColumnRenamed("letter", "b")), ["lang", "b"])
-    scored = inside.join(F.broadcast(matrix), ["lang", "a", "b"], "left").groupBy("id", "lang").agg(F.coalesce(F.sum(F.col("n") * F.log("p")), F.lit(0.0)).alias("log_p"), F.coalesce(F.sum(F.when(F.col("p").isNull(), F.col("n"))), F.lit(0)).alias("unseen"))
+    inside = pairs.join(alphabet.withColumnRenamed("letter", "a"), "a").join(alphabet.withColumnRenamed("letter", "b"), ["lang", "b"])
+    scored = inside.join(matrix, ["lang", "a", "b"], "left").groupBy("id", "lang").agg(F.coalesce(F.sum(F.col("n") * F.log("p")), F.lit(0.0)).alias("log_p"), F.coalesce(F.sum(F.when(F.col("p").isNull(), F.col("n"))), F.lit(0)).alias("unseen"))
     every = test.select("id").join(F.broadcast(train.select("lang").distinct()))
     return every.join(scored, ["id", "lang"], "left").select("id", "lang", F.coalesce("log_p", F.lit(0.0)).alias("log_p"), F.coalesce("unseen", F.lit(0)).alias("unseen"))
 

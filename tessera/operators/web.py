@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import html.parser
 from urllib.parse import urljoin, urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from tessera.storage import materialize
 
+# The extensions of dynamic pages.
 DYNAMIC = ("php", "asp", "aspx", "jsp", "cgi", "cfm", "do", "action", "py")
 HREF = r"""(?is)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 
@@ -23,6 +25,36 @@ def page_links(pages: DataFrame) -> DataFrame:
     return links.select("page_id", "pos", F.when(quoted != "", quoted).otherwise(F.regexp_extract("tag", HREF, 2)).alias("href"))
 
 
+class _Anchors(html.parser.HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "a":
+            self.found += [value for name, value in attrs if name == "href" and value is not None][:1]
+
+
+def anchors(markup: str | None) -> list[str]:
+    """The href of every anchor as a parser sees it: quoted or not, entities resolved, none from comments."""
+    parser = _Anchors()
+    parser.feed(markup or "")
+    parser.close()
+    return parser.found
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def anchors_column(markup: pd.Series) -> pd.Series:
+    """``anchors`` over a column."""
+    return markup.map(anchors)
+
+
+def parsed_links(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, href, simple, target) of every anchor by a parser, in document order; ``simple`` and ``target`` are its normal forms."""
+    links = pages.select("page_id", "url", F.posexplode(anchors_column("html")).alias("pos", "href"))
+    return links.select("page_id", "pos", "href", normalize_simple_column("url", "href").alias("simple"), normalize_column("url", "href").alias("target"))
+
+
 def normalize_simple(base: str, href: str) -> str:
     """Without its fragment; absolute as it is, else joined to the base."""
     href = href.partition("#")[0]
@@ -41,6 +73,19 @@ def normalize(base: str, href: str | None) -> str | None:
     return full if full.startswith(("http://", "https://")) else None
 
 
+@F.pandas_udf(StringType())
+def normalize_simple_column(base: pd.Series, href: pd.Series) -> pd.Series:
+    """``normalize_simple`` over columns; null where the reference is no URL at all."""
+
+    def one(b: str, h: str) -> str | None:
+        try:
+            return normalize_simple(b, h)
+        except ValueError:
+            return None
+
+    return pd.Series([one(b, h) for b, h in zip(base, href)], dtype=object)
+
+
 @F.pandas_udf(StringType())
 def normalize_column(base: pd.Series, href: pd.Series) -> pd.Series:
     """``normalize`` over columns, for references with dots and other rare forms."""

@@ -15,6 +15,7 @@ from tessera.functions import numeric as N
 from tessera.functions import stemmers
 from tessera.functions import text as T
 from tessera.operators import boolean, evaluation, graph, index, langid, laws, ranking, skips, web
+from tessera.plans import exchange
 from tessera.plans.sql import ORACLES, PAGERANK_ROUNDS, TOPICS
 from tessera.storage import materialize, shared_dir
 
@@ -242,7 +243,7 @@ def _log(spark, d, n: int) -> DataFrame:
 
 def _batch(pattern: str, n: int) -> None:
     def run(spark, d):
-        return boolean.batch(stored(spark, d)["postings"], _log(spark, d, n), pattern)
+        return boolean.batch(stored(spark, d)["postings"], _log(spark, d, n), pattern, stored(spark, d)["vocab"])
 
     run.__name__ = f"batch_{pattern}"
     query(run)
@@ -632,11 +633,72 @@ def _by(part: str, order: str):
     return Window.partitionBy(part).orderBy(F.col(order).cast("int"))
 
 
+@query
+def parsed_page_links(spark, d):
+    """Links as a parser sees them; SQL has no HTML parser."""
+    return web.parsed_links(read(spark, d, "pages"))
+
+
+@query
+def domain_crawl(spark, d):
+    """A crawl that stays in one domain and takes only pages whose fetch succeeded."""
+    at = lambda c: F.concat(F.lit("http://n"), c, F.lit(".shop.org/a"))
+    trade = _trade(spark, d)
+    edges = trade.select(at("src").alias("src"), F.row_number().over(_by("src", "dst")).alias("pos"), at("dst").alias("dst"))
+    content = graph.nodes_of(trade).select(at("node").alias("url"), (F.col("node") != "7").alias("ok"))
+    return web.crawl(edges, ["http://n0.shop.org/a", "http://n1.other.org/a"], max_logical=3, per_site=1, most=20, domain="shop.org", content=content)
+
+
+@query
+def langid_chain_product(spark, d):
+    """The plain product of transition probabilities, which long texts drive to 0."""
+    return rounded(langid.by_chain_product(langid.chain_scores(_train(spark, d), _test(spark, d))), "score", digits=12)
+
+
+# --- block-sort build ---
+
+
+@query
+def block_sort_postings(spark, d):
+    docs = read(spark, d, "documents")
+    postings, ids = stored(spark, d)["postings"], index.term_ids(index.tokens(docs, words()))
+    return index.block_sort_merge(index.block_sort_tuples(postings, ids, index.block_sort_chunks(postings, 10_000))).select("term_id", "doc_id", "tf")
+
+
+@query
+def block_sort_sensitivity(spark, d):
+    return index.block_sort_sensitivity(stored(spark, d)["postings"])
+
+
+# --- stop words and stems at index and query time ---
+
+
+@query
+def bm25_stop_porter(spark, d):
+    """BM25 of whole benchmark texts, where documents and topics went through stop words and Porter's stems alike."""
+    chain = lambda rows: stemmers.stem_postings(rows, "porter")
+    w = T.analyzed(T.letter_words(F.col("text"), T.ENGLISH), T.STOP_WORDS)
+    postings = materialize(chain(index.postings_of(read(spark, d, "documents"), w)), "stem-postings")
+    topics = chain(index.postings_of(read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), w))
+    topics = topics.select(F.col("doc_id").cast("string").alias("qid"), "term", F.col("tf").alias("qtf"), F.lit(0).alias("first_at"))
+    hits = ranking.matches(postings, topics, index.vocabulary(postings), n_docs(spark, d))
+    lengths = ranking.with_lengths(hits, index.doc_stats(postings), index.collection(read(spark, d, "documents"), postings))
+    return ranking.weighted(lengths, ranking.bm25(), 10)
+
+
+# --- several cuts at once ---
+
+
+@query
+def recall_at_cuts(spark, d):
+    return rounded(evaluation.recall_at(_runs(spark, d), _qrels(spark, d), (2, 3, 10, 20)), "recall")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return dict(_QUERIES)
+    return {**_QUERIES, **exchange.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {k: v for k, v in ORACLES.items() if k in _QUERIES}
+    return {k: v for k, v in ORACLES.items() if k in _QUERIES} | exchange.oracles()

@@ -208,6 +208,8 @@ ORACLES: dict[str, str] = {
     "map_p10_ndcg10": _RUN + "SELECT name, round(avg(ap), 6) AS ap, round(avg(p_cut), 6) AS p_cut, round(avg(ndcg_cut), 6) AS ndcg_cut FROM m GROUP BY name",
     "per_query_pivot": _RUN + f"SELECT name, qid, {_round('ap p_cut ndcg_cut')} FROM m",
     "interp_across_queries": _RUN + "SELECT name, round(l / 10.0, 6) AS level, round(coalesce(max(p_cut) FILTER (round(r_cut * 10, 9) >= l), 0), 6) AS precision FROM m, lv GROUP BY ALL",
+    "recall_at_cuts": _RUN + "SELECT name, qid, cut::INT AS cut, round(coalesce(sum(rel) FILTER (rank <= cut), 0) / any_value(n_rel)::DOUBLE, 6) AS recall FROM pr, (VALUES (2), (3), (10), (20)) c(cut) GROUP BY ALL",
+    "block_sort_postings": _BASE + f", o AS (SELECT doc_id, unnest({_WORDS}) AS term, generate_subscripts({_WORDS}, 1) AS pos FROM documents), f AS (SELECT term, min((doc_id, pos)) AS pos FROM o GROUP BY term), i AS (SELECT term, row_number() OVER (ORDER BY pos) AS term_id FROM f) SELECT term_id, doc_id, tf FROM p JOIN i USING (term)",
     "metric_histogram": _RUN + ", y AS (SELECT round(ap, 9) AS ap FROM m), s AS (SELECT min(ap) AS a, max(ap) AS b FROM y), z AS (SELECT CASE WHEN b > a THEN least(10, floor((ap - a) / ((b - a) / 10)) + 1) ELSE 1 END::INT AS bin, a, b FROM y, s) SELECT bin, round(a + (b - a) / 10 * (bin - 1), 6) AS lo, round(a + (b - a) / 10 * bin, 6) AS hi, count(*) AS n FROM z GROUP BY ALL",
     "ranking_agreement": _RUN + ", c AS (SELECT a.qid, a.rank AS ra, b.rank AS rb FROM run a JOIN run b USING (qid, doc_id) WHERE a.name = 'bm25' AND b.name = 'dirichlet_lm'), x AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ra) AS xa, row_number() OVER (PARTITION BY qid ORDER BY rb) AS xb FROM c) SELECT qid, round(count(*) FILTER (ra <= 10 AND rb <= 10) / 10.0, 6) AS overlap, round(CASE WHEN count(*) > 1 THEN covar_pop(xa, xb) / (stddev_pop(xa) * stddev_pop(xb)) END, 6) AS spearman FROM x GROUP BY qid",
     "frequency_ranks": _RANKS + "SELECT term, cf, rank FROM r",
