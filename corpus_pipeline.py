@@ -88,3 +88,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k:
             remove(spark, f"{base}/{k - 1}")
     return docs
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The one query of this module."""
+    return {"pipeline": run}
+
+
+def oracle_sql() -> dict[str, str]:
+    """Its SQL, if there is any."""
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
