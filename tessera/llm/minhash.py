@@ -352,8 +352,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
         wider = _members(candidates.unionByName(wide), "wide").withColumnRenamed("member", "id")
         groups = wider.join(groups, F.col("id") == F.col("member"), "left").select("id", F.coalesce("g", "id").alias("g"), "wide")
     groups = groups.join(first.select(F.col("id").alias("first_id"), "n_shingles"), F.col("id") == F.col("first_id")).drop("first_id")
-    groups = materialize(groups, "candidate-groups")  # its size is known then, so Spark can choose not to shuffle the texts
-    texts = materialize(docs.join(groups, docs["doc_id"] == groups["id"]).select("id", "g", "wide", "n_shingles", "text"), "candidate-texts")
+    groups = materialize(groups, "candidate-groups")
+    # all texts meet ids alone, in a table of a known and small size, so Spark shuffles them only where that is large; the few that remain meet the rest
+    wanted = materialize(groups.select(F.col("id").alias("wanted")).distinct(), "candidate-ids")
+    few = docs.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
+    texts = materialize(few.join(groups, F.col("doc_id") == F.col("id")).select("id", "g", "wide", "n_shingles", "text"), "candidate-texts")
     tiles = _tiles(texts, "g")
     links = materialize(_first_links(texts, tiles, percent, k), "links")
     # only a group of several tiles, or one that is wider than its candidates, can have more
