@@ -129,15 +129,15 @@ def gamma_values(data: pd.Series, count: pd.Series) -> pd.Series:
 
 
 def compress_index(lists: DataFrame, d_gaps: bool = True) -> DataFrame:
-    """(term, docid, freq, df) lists to (term, df, docid_bytes, freq_bytes)."""
+    """(term, docid, freq, df) lists, or blocks of them, to (term, df, docid_bytes, freq_bytes); further columns stay. Gaps begin anew in each row."""
     ids = vbyte_gaps_column("docid") if d_gaps else vbyte_column("docid")
-    return lists.select("term", "df", ids.alias("docid_bytes"), gamma_column("freq").alias("freq_bytes"))
+    return lists.select(*[c for c in lists.columns if c not in ("docid", "freq")], ids.alias("docid_bytes"), gamma_column("freq").alias("freq_bytes"))
 
 
 def decompress_index(packed: DataFrame, d_gaps: bool = True) -> DataFrame:
     """Inverse of ``compress_index``."""
     ids = vbyte_values("docid_bytes")
-    packed = packed.select("term", "df", ids.alias("docid"), gamma_values("freq_bytes", "df").alias("freq"))
+    packed = packed.select(*[c for c in packed.columns if c not in ("docid_bytes", "freq_bytes")], ids.alias("docid"), gamma_values("freq_bytes", "df").alias("freq"))
     if d_gaps:
         sums = F.aggregate("docid", F.array().cast("array<long>"), lambda a, g: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + g)))
         packed = packed.withColumn("docid", sums)

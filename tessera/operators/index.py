@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import numeric as N
 from tessera.functions import text as T
+from tessera.operators.prefix import numbered, sums_before
 
 POSTING_BYTES = 8
+BLOCK_DOCS = 4096
 
 
 def tokens(docs: DataFrame, words: Column) -> DataFrame:
@@ -66,6 +68,13 @@ def inverted_lists(postings: DataFrame) -> DataFrame:
     return lists.select("term", F.col("p.doc_id").alias("docid"), F.col("p.tf").alias("freq"), F.size("p").cast("long").alias("df"))
 
 
+def list_blocks(postings: DataFrame, span: int = BLOCK_DOCS) -> DataFrame:
+    """(term, block, docid, freq, df): the lists cut at multiples of ``span`` document ids; df is the block's own. However common a term, no row or task holds more than one block of it."""
+    pairs = F.array_sort(F.collect_list(F.struct("doc_id", "tf")))
+    blocks = postings.groupBy("term", F.floor(F.col("doc_id") / span).alias("block")).agg(pairs.alias("p"))
+    return blocks.select("term", "block", F.col("p.doc_id").alias("docid"), F.col("p.tf").alias("freq"), F.size("p").cast("long").alias("df"))
+
+
 def tf_idf(postings: DataFrame, vocab: DataFrame, n_docs: Column, weight=N.log_tf, idf=N.idf_ln) -> DataFrame:
     """``postings`` with (df, weight)."""
     joined = postings.join(vocab.select("term", "df"), "term")
@@ -78,20 +87,19 @@ def doc_norms(weighted: DataFrame) -> DataFrame:
 
 
 def term_ids(tokens_: DataFrame) -> DataFrame:
-    """(term, term_id): ids from 1 in order of first appearance. The window sees one row per term."""
+    """(term, term_id): ids from 1 in order of first appearance."""
     first = tokens_.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    return first.select("term", F.row_number().over(Window.orderBy("first")).cast("long").alias("term_id"))
+    return numbered(first, ["first"], "term_id").select("term", "term_id")
 
 
 def seeks(vocab: DataFrame) -> DataFrame:
     """(term, term_id, df, seek): byte offsets of fixed-size postings laid out by term_id."""
-    before = Window.orderBy("term_id").rowsBetween(Window.unboundedPreceding, -1)
-    return vocab.withColumn("seek", F.coalesce(F.sum(F.col("df") * POSTING_BYTES).over(before), F.lit(0)))
+    return sums_before(vocab, ["term_id"], seek=F.col("df") * POSTING_BYTES)
 
 
 def doc_ids(paths: DataFrame) -> DataFrame:
     """(doc_id, path): ids from 1 in path order."""
-    return paths.select(F.row_number().over(Window.orderBy("path")).cast("long").alias("doc_id"), "path")
+    return numbered(paths.select("path"), ["path"], "doc_id").select("doc_id", "path")
 
 
 def block_sort_chunks(postings: DataFrame, tuples: int) -> DataFrame:

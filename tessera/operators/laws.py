@@ -1,18 +1,19 @@
-"""Zipf's and Heaps' laws. Input vocabularies have one row per term, so their global windows stay vocabulary-sized."""
+"""Zipf's and Heaps' laws. Ranks and running sums go by ranges of their order, so no task sees a whole vocabulary."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import numeric as N
+from tessera.operators.prefix import numbered, sums_before
 
 SHARES = (0.10, 0.20, 0.30, 0.35)
 
 
 def ranked(vocab: DataFrame) -> DataFrame:
     """(term, cf, rank): ranks from 1 by falling frequency, ties by term."""
-    return vocab.select("term", "cf", F.row_number().over(Window.orderBy(F.desc("cf"), "term")).cast("long").alias("rank"))
+    return numbered(vocab.select("term", "cf"), [F.desc("cf"), F.asc("term")], "rank")
 
 
 def zipf_fit(ranks: DataFrame) -> DataFrame:
@@ -25,10 +26,10 @@ def coverage(ranks: DataFrame) -> DataFrame:
     """``ranks`` with cumulative shares of the text: as counted and under the fitted law."""
     fit = F.broadcast(zipf_fit(ranks))
     model = N.power_law(F.col("c"), F.col("rank").cast("double"), -F.col("alpha"))
-    upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    got = ranks.join(fit).withColumn("model", model)
-    return got.select("term", "cf", "rank", (F.sum("cf").over(upto) / F.sum("cf").over(everything)).alias("share"), (F.sum("model").over(upto) / F.sum("model").over(everything)).alias("model_share"))
+    got = sums_before(ranks.join(fit).select("term", "cf", "rank", model.alias("model")), ["rank"], cf_before=F.col("cf"), model_before=F.col("model"))
+    total = got.agg(F.sum("cf").alias("all_cf"), F.sum("model").alias("all_model"))
+    share = ((F.col("cf_before") + F.col("cf")) / F.col("all_cf")).alias("share")
+    return got.join(F.broadcast(total)).select("term", "cf", "rank", share, ((F.col("model_before") + F.col("model")) / F.col("all_model")).alias("model_share"))
 
 
 def thresholds(covered: DataFrame, shares: tuple[float, ...] = SHARES) -> DataFrame:
@@ -50,18 +51,17 @@ def pruning(covered: DataFrame, stop: list[str], shares: tuple[float, ...] = SHA
 def heaps_samples(docs: DataFrame, words, every: int = 100) -> DataFrame:
     """(n, v): distinct terms after each ``every`` tokens of the collection read in id order; the tail is left out.
 
-    Documents' offsets are sums over one row per document, and only first occurrences (one row per term) are counted over.
+    Documents' offsets are running sums by ranges of ids, and only first occurrences (one row per term) are counted over.
     """
     counted = docs.select("doc_id", words.alias("words")).withColumn("n", F.size("words"))
-    before = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.select("doc_id", "n").withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    offsets = sums_before(counted.select("doc_id", "n"), ["doc_id"], offset=F.col("n"))
     first = counted.select("doc_id", F.posexplode("words").alias("pos", "term")).groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
     at = first.select(F.col("at.doc_id").alias("doc_id"), F.col("at.pos").alias("pos")).join(offsets.select("doc_id", "offset"), "doc_id").select((F.ceil((F.col("offset") + F.col("pos") + 1) / every) * every).cast("long").alias("n"))
     new = at.groupBy("n").agg(F.count("*").alias("new"))
     total = offsets.agg(F.floor(F.sum("n") / every).cast("long").alias("k"))
     steps = total.select(F.explode(F.when(F.col("k") > 0, F.sequence(F.lit(1).cast("long"), F.col("k"))).otherwise(F.array().cast("array<long>"))).alias("k")).select((F.col("k") * every).alias("n"))
-    upto = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.join(new, "n", "left").select("n", F.sum(F.coalesce("new", F.lit(0))).over(upto).cast("long").alias("v"))
+    grown = sums_before(steps.join(new, "n", "left").select("n", F.coalesce("new", F.lit(0)).alias("new")), ["n"], before=F.col("new"))
+    return grown.select("n", (F.col("before") + F.col("new")).cast("long").alias("v"))
 
 
 def heaps_fit(samples: DataFrame) -> DataFrame:

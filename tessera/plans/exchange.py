@@ -240,7 +240,7 @@ def labelled_lines_there_and_back(spark, d):
 @query()
 def compressed_index_there_and_back(spark, d):
     path = _folder(spark, "compressed")
-    writers.compressed_index(C.compress_index(index.inverted_lists(_index(spark, d)["postings"]), True), path)
+    writers.compressed_index(C.compress_index(index.list_blocks(_index(spark, d)["postings"]), True), path)
     rows = C.decompress_index(spark.read.parquet(path), True)
     return rows.select("term", F.posexplode("docid").alias("pos", "doc_id"), "freq").select("term", "doc_id", F.get("freq", F.col("pos")).cast("long").alias("tf"))
 

@@ -129,12 +129,13 @@ def _profile(source: str, key: str, name: str) -> str:
 {name} AS (SELECT {key}, letter, n / sum(n) OVER (PARTITION BY {key}) AS freq FROM {name}n)"""
 
 
+_EVERY = "train AS (SELECT lang, text FROM documents), test AS (SELECT doc_id AS id, text, lang AS gold FROM documents)"
 _SPLIT = "train AS (SELECT lang, text FROM documents WHERE doc_id % 2 = 0), test AS (SELECT doc_id AS id, text, lang AS gold FROM documents WHERE doc_id % 2 = 1)"
-_CORR = f"""WITH {_SPLIT}, {_profile('train', 'lang', 'tp')}, {_profile('test', 'id', 'sp')},
+_CORR = f""", {_profile('train', 'lang', 'tp')}, {_profile('test', 'id', 'sp')},
 sc AS (SELECT id, lang, CASE WHEN stddev_pop(tp.freq) * stddev_pop(sp.freq) > 1e-15 THEN covar_pop(tp.freq, sp.freq) / (stddev_pop(tp.freq) * stddev_pop(sp.freq)) END AS score FROM sp JOIN tp USING (letter) GROUP BY ALL),
 b AS (SELECT id, arg_max(lang, score) FILTER (score > -1) AS lang, max(score) FILTER (score > -1) AS score FROM test LEFT JOIN sc USING (id) GROUP BY id)
 """
-_TRANS = f"""WITH {_SPLIT},
+_TRANS = f"""WITH {_EVERY},
 lt AS (SELECT lang, regexp_extract_all(lower(text), '\\p{{L}}') AS c FROM train),
 pairs AS (SELECT lang, unnest(list_zip(c[:-2], c[2:])) AS z FROM lt WHERE len(c) > 1),
 cnt AS (SELECT lang, z[1] AS a, z[2] AS b, count(*) AS n FROM pairs GROUP BY ALL),
@@ -221,7 +222,7 @@ ORACLES: dict[str, str] = {
     "heaps_fit": _HEAPS + "SELECT round(exp(regr_intercept(ln(v), ln(n))), 4) AS k, round(regr_slope(ln(v), ln(n)), 4) AS b FROM s",
     "heaps_anchored": _HEAPS + "SELECT b, round(v / pow(n, b), 6) AS k FROM (SELECT n, v FROM s ORDER BY n LIMIT 1), (VALUES (0.4::DOUBLE), (0.5), (0.6)) x(b)",
     "letter_profile": f"WITH {_profile('documents', 'lang', 'lp')} SELECT lang, letter, round(freq, 9) AS freq FROM lp",
-    "langid_corr": _CORR + "SELECT id, lang, round(score, 6) AS score FROM b",
+    "langid_corr": f"WITH {_EVERY}" + _CORR + "SELECT id, lang, round(score, 6) AS score FROM b",
     "bigram_matrix": _TRANS + "SELECT lang, a, b, round(p, 9) AS p FROM tr",
     "langid_chain": _TRANS + """, al AS (SELECT DISTINCT lang, unnest(c) AS letter FROM lt),
 tx AS (SELECT id, string_split(text, '') AS c FROM test), ch AS (SELECT id, unnest(list_zip(c[:-2], c[2:])) AS z FROM tx WHERE len(c) > 1), ct AS (SELECT id, z[1] AS a, z[2] AS b, count(*) AS n FROM ch GROUP BY ALL),
@@ -229,7 +230,7 @@ ins AS (SELECT ct.*, x.lang FROM ct JOIN al x ON a = x.letter JOIN al y ON b = y
 sc AS (SELECT id, lang, sum(n * ln(p)) AS s, count(*) FILTER (p IS NULL) AS unseen FROM ins LEFT JOIN tr USING (lang, a, b) GROUP BY ALL),
 ev AS (SELECT id, lang, coalesce(s, 0) AS s FROM test CROSS JOIN (SELECT DISTINCT lang FROM train) LEFT JOIN sc USING (id, lang) WHERE coalesce(unseen, 0) = 0)
 SELECT id, first(ev.lang ORDER BY s DESC, CASE ev.lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'it' THEN 2 ELSE 3 END, ev.lang) AS lang, round(max(s), 3) AS score FROM test LEFT JOIN ev USING (id) GROUP BY id""",
-    "langid_accuracy": _CORR + "SELECT count(*) FILTER (lower(b.lang) = lower(gold)) AS n_equal, count(*) AS n_total, round(count(*) FILTER (lower(b.lang) = lower(gold)) * 100.0 / count(*), 6) AS percent FROM b JOIN test USING (id)",
+    "langid_accuracy": f"WITH {_SPLIT}" + _CORR + "SELECT count(*) FILTER (lower(b.lang) = lower(gold)) AS n_equal, count(*) AS n_total, round(count(*) FILTER (lower(b.lang) = lower(gold)) * 100.0 / count(*), 6) AS percent FROM b JOIN test USING (id)",
     "dgaps": _GAPS + "SELECT term, doc_id, gap FROM g",
     "codec_sizes": _GAPS + f", s AS (SELECT term, sum({_vb('doc_id')}) AS plain, sum({_vb('gap')}) AS gapped, ceil(sum(2 * length(bin(tf)) - 1) / 8.0) AS freqs, count(*) * 8 AS raw FROM g GROUP BY term), t AS (SELECT sum(raw)::BIGINT AS raw, sum(plain)::BIGINT AS plain, sum(gapped)::BIGINT AS gapped, sum(freqs)::BIGINT AS freqs FROM s) SELECT *, round(raw::DOUBLE / (gapped + freqs), 6) AS ratio, round((raw - gapped - freqs) * 100.0 / raw, 6) AS saving FROM t",
     "codec_roundtrip": _BASE + "SELECT term, doc_id, tf FROM p",

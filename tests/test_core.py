@@ -1,5 +1,6 @@
 """Operators of the text engine on small literal inputs, worked out by hand, and by properties."""
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import codecs as C
 from tessera.functions import stemmers, text
-from tessera.operators import boolean, evaluation, graph, index, langid, laws, ranking, skips, web
+from tessera.operators import boolean, evaluation, graph, index, langid, laws, prefix, ranking, skips, web
 from tessera.sources import readers, writers
 
 
@@ -164,6 +165,55 @@ def test_pagerank_and_hits_sum_to_one(spark):
     assert sum(r.hub for r in both) == pytest.approx(1) and sum(r.authority for r in both) == pytest.approx(1)
 
 
+def test_pagerank_and_hits_settle_where_power_iteration_does(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("c", "d"), ("e", "a"), ("e", "d"), ("a", "b")]
+    names = sorted({x for e in edges for x in e})
+    at = np.zeros((len(names), len(names)))
+    for x, y in edges:
+        at[names.index(x), names.index(y)] = 1
+    out, rank = at.sum(1), np.full(len(names), 1 / len(names))
+    for _ in range(500):
+        rank = 0.5 / len(names) + 0.5 * (at.T @ (rank / np.maximum(out, 1)) + rank[out == 0].sum() / len(names))
+    hub = np.ones(len(names))
+    for _ in range(500):
+        authority = at.T @ hub
+        hub = at @ authority
+        hub, authority = hub / hub.sum(), authority / authority.sum()
+    df = spark.createDataFrame(edges, "src string, dst string")
+    got = {r.node: r.pagerank for r in graph.pagerank(df, damping=0.5, tolerance=1e-6).collect()}
+    assert [got[x] for x in names] == pytest.approx(rank.tolist(), abs=1e-5)  # a change below 6e-6 leaves an error below that, as each round halves it
+    got = {r.node: (r.hub, r.authority) for r in graph.hits(df, tolerance=1e-4).collect()}
+    assert [got[x][0] for x in names] == pytest.approx(hub.tolist(), abs=1e-3)
+    assert [got[x][1] for x in names] == pytest.approx(authority.tolist(), abs=1e-3)
+
+
+def test_running_sums_over_several_ranges(spark):
+    rows = [(i * 37 % 101, f"k{i % 7}", None if i % 10 == 0 else i) for i in range(101)]
+    df = spark.createDataFrame(rows, "k long, name string, n long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((r.k, r.before, r.ones) for r in prefix.sums_before(df, ["k"], before=F.col("n"), ones=F.lit(1)).collect())
+        falling = sorted((r.place, r.k) for r in prefix.numbered(df, [F.desc("k")], "place").collect())
+        assert prefix.sums_before(df.where("k < 0"), ["k"], before=F.col("n")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    total, want = 0, []
+    for i, (k, _, n) in enumerate(sorted(rows)):
+        want.append((k, total, i))
+        total += n or 0
+    assert got == want
+    assert falling == [(i + 1, 100 - i) for i in range(101)]
+
+
+def test_blocks_of_lists_compress_and_come_back(spark):
+    df = spark.createDataFrame([("a", d, d % 5 + 1) for d in (0, 1, 7, 8, 15, 16, 900)] + [("b", 3, 2)], "term string, doc_id long, tf long")
+    blocks = index.list_blocks(df, 8)
+    assert {(r.term, r.block, tuple(r.docid), r.df) for r in blocks.collect()} == {("a", 0, (0, 1, 7), 3), ("a", 1, (8, 15), 2), ("a", 2, (16,), 1), ("a", 112, (900,), 1), ("b", 0, (3,), 1)}
+    for d_gaps in (True, False):
+        packed = C.compress_index(blocks, d_gaps)
+        assert {tuple(r) for r in C.fetch_posting(packed, "a", d_gaps).collect()} == {(d, d % 5 + 1) for d in (0, 1, 7, 8, 15, 16, 900)}
+
+
 def test_heaps_samples_and_language(spark):
     df = spark.createDataFrame([(1, "a b " * 60), (2, "c d " * 60)], "doc_id long, text string")
     assert [(r.n, r.v) for r in laws.heaps_samples(df, text.letter_words(F.col("text"))).orderBy("n").collect()] == [(100, 2), (200, 4)]
