@@ -19,8 +19,8 @@ MODULES = {
 
 
 def queries() -> dict:
-    return {name: getattr(module, name) for name, module in MODULES.items()}
+    return {name: getattr(module, name) for name, module in MODULES.items()} | {"embedding_links_derived": vectors.embedding_links_derived}
 
 
 def oracle_sql() -> dict:
-    return {name: module.ORACLE for name, module in MODULES.items() if getattr(module, "ORACLE", None)}
+    return {name: module.ORACLE for name, module in MODULES.items() if getattr(module, "ORACLE", None)} | {"embedding_links_derived": vectors.DERIVED_ORACLE}

@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, table
 from tessera.llm.components import connected_components, roots_of
 
-BLOCK, TILE = 8, 1024
+BLOCK, BOX = 8, 256
+#: Most vectors, and most components, of one part of a cell: 4 MB in double precision.
+TILE, TILE_VALUES = 8192, 1 << 19
+WIDTH = 2  # of a cell, in radii of its block
 _EPS = 1e-7
 
 
@@ -51,7 +54,7 @@ def _unit(flat: np.ndarray) -> np.ndarray:
 
 
 def _cells(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows (id, n, label, embedding) to a row per block and cell: own (role 0) and, as guest, the next (role 1)."""
+    """Rows (id, n, label, embedding) to a row per block and cell: own (role 0) and, as guest of those within a radius, the next (role 1)."""
     for batch in batches:
         lengths = np.array([len(x) for x in batch.column(3).to_pylist()], np.int64)
         for d in np.unique(lengths).tolist():
@@ -63,15 +66,32 @@ def _cells(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
             turned = _unit(flat) @ rotation(d)
             for k, s in enumerate(_blocks(d)):
                 radius = math.sqrt((2 - 2 * threshold + _EPS) * (s.stop - s.start) / d)
-                cell = np.floor(turned[:, s.start] / radius).astype(np.int64)
-                for role in (0, 1):
-                    n = len(rows)
+                at = turned[:, s.start] / (WIDTH * radius)
+                cell = np.floor(at).astype(np.int64)
+                reach = np.flatnonzero(cell + 1 - at <= 1 / WIDTH + 1e-9)
+                for role, sent in ((0, np.arange(len(rows))), (1, reach)):
+                    n = len(sent)
+                    own = part.take(pa.array(sent)) if role else part
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(2), pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, k, np.int32)), pa.array(cell + role), pa.array(np.full(n, role, np.int32)), part.column(0), part.column(1), part.column(3)],
+                        [own.column(2), pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, k, np.int32)), pa.array(cell[sent] + role), pa.array(np.full(n, role, np.int32)), own.column(0), own.column(1), own.column(3)],
                         ["label", "d", "block", "cell", "role", "id", "n", "v"],
                     )
 
 
+def _boxes(points: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of ``points`` in sets of at most ``BOX``, split at medians of the widest coordinate."""
+    todo = [np.arange(len(points))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= BOX:
+            yield rows
+            continue
+        axis = np.ptp(points[rows], axis=0).argmax()
+        half = len(rows) // 2
+        order = np.argpartition(points[rows, axis], half)
+        todo += [rows[order[:half]], rows[order[half:]]]
+
+
 def _join_tile(group: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids with links, their weighted numbers, forest edges a, b) of one tile."""
     d, k = group.column("d")[0].as_py(), group.column("block")[0].as_py()
@@ -89,20 +109,25 @@ def _join_tile(group: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarra
     # pairs of the home cell with itself, and of home with guests; of parts (i, j) both ways round
     home = np.flatnonzero(role == 0)
     links = np.zeros(len(ids), np.int64)
-    a_all, b_all = [], []
+    forest_a = forest_b = np.zeros(0, np.int64)
     mine = turned[:, blocks[k]]
-    square = (mine * mine).sum(1)
-    for at in range(0, len(home), 256):
-        x = home[at : at + 256]
-        near = square[x, None] + square[None, :] - 2 * mine[x] @ mine.T <= budgets[k] + 1e-9
-        near &= (role[None, :] == 1) | (np.arange(len(ids))[None, :] > x[:, None])
-        near &= (np.minimum(part[x, None], part[None, :]) == i) & (np.maximum(part[x, None], part[None, :]) == j)
-        p, q = np.nonzero(near)
-        p = x[p]
-        if not len(p):
+    # one single-precision product gives squared distances to within 1e-5; what passes is decided in double precision below
+    square = (mine * mine).sum(1, keepdims=True)
+    ones = np.ones_like(square)
+    left = np.hstack([-2 * mine, square, ones]).astype(np.float32)
+    right = np.hstack([mine, ones, square]).astype(np.float32)
+    for box in _boxes(mine[home]):
+        x = home[box]
+        if not len(x):
             continue
+        away = np.maximum(np.maximum(mine[x].min(0) - mine, mine - mine[x].max(0)), 0)
+        y = np.flatnonzero((away * away).sum(1) <= budgets[k] + 1e-9)
+        p, q = np.nonzero(left[x] @ right[y].T <= np.float32(budgets[k] + 1e-5))
+        new_a, new_b = [forest_a], [forest_b]
         for lo in range(0, len(p), 1 << 16):
-            a, b = p[lo : lo + (1 << 16)], q[lo : lo + (1 << 16)]
+            a, b = x[p[lo : lo + (1 << 16)]], y[q[lo : lo + (1 << 16)]]
+            ok = ((role[b] == 1) | (b > a)) & (np.minimum(part[a], part[b]) == i) & (np.maximum(part[a], part[b]) == j)
+            a, b = a[ok], b[ok]
             ok = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold - 1e-7
             a, b = a[ok], b[ok]
             ok = cosine(flat[a], flat[b]) >= threshold
@@ -114,14 +139,13 @@ def _join_tile(group: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarra
             ok = ids[a] != ids[b]
             np.add.at(links, a[ok], n[b[ok]])
             np.add.at(links, b[ok], n[a[ok]])
-            a_all.append(a), b_all.append(b)
-    if not a_all:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    a, b = np.concatenate(a_all), np.concatenate(b_all)
-    root = roots_of(a, b, len(ids))
-    own, hit = np.flatnonzero(root != np.arange(len(ids))), np.flatnonzero(links)
-    return ids[hit], links[hit], ids[own], ids[root[own]]
+            new_a.append(a), new_b.append(b)
+        if len(p):  # a box's links are thinned at once, so a dense tile holds a forest, not its pairs
+            root = roots_of(np.concatenate(new_a), np.concatenate(new_b), len(ids))
+            forest_a = np.flatnonzero(root != np.arange(len(ids)))
+            forest_b = root[forest_a]
+    hit = np.flatnonzero(links)
+    return ids[hit], links[hit], ids[forest_a], ids[forest_b]
 
 
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -147,8 +171,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     cells = same.select("id", "n", "label", "v").mapInArrow(lambda it: _cells(it, threshold), f"label string, d int, block int, cell long, role int, id long, n long, v {kind}")
     key = ["label", "d", "block", "cell"]
     cells = materialize(cells, "cells")
+    most = F.least(F.lit(TILE), F.greatest(F.lit(1), F.floor(F.lit(TILE_VALUES) / F.col("d"))))
     sizes = cells.groupBy(*key).agg(F.count("*").alias("rows"), F.min("role").alias("home")).where("home = 0 AND rows > 1")
-    sizes = sizes.select(*[F.col(c).alias(f"{c}_of") for c in key], F.ceil(F.col("rows") / TILE).cast("int").alias("parts"))
+    sizes = sizes.select(*[F.col(c).alias(f"{c}_of") for c in key], F.ceil(F.col("rows") / most).cast("int").alias("parts"))
     on = [F.col(c) == F.col(f"{c}_of") for c in key]
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     laid = cells.join(sizes, on).withColumn("part", part)
@@ -179,6 +204,13 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def embedding_links_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings beside a changed copy of each: its first four components halved. Every table has links then."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    halved = F.transform("embedding", lambda x, at: F.when(at < 4, x / 2).otherwise(x))
+    return near_vectors(rows.select((F.col("vec_id") * 2).alias("vec_id"), "label", "embedding").unionByName(rows.select((F.col("vec_id") * 2 + 1).alias("vec_id"), "label", halved.alias("embedding"))))
+
+
 ORACLE = """
 WITH RECURSIVE e AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
@@ -199,3 +231,13 @@ WITH RECURSIVE e AS (
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id <= coalesce(low, vec_id) AS kept
 FROM e LEFT JOIN component c ON c.x = vec_id LEFT JOIN number m ON m.x = vec_id
 """
+
+DERIVED_ORACLE = ORACLE.replace(
+    "FROM embeddings\n",
+    """FROM (
+    SELECT vec_id * 2 AS vec_id, label, embedding::DOUBLE[] AS embedding FROM embeddings
+    UNION ALL
+    SELECT vec_id * 2 + 1, label, list_transform(embedding::DOUBLE[], lambda x, k: CASE WHEN k <= 4 THEN x / 2 ELSE x END) FROM embeddings
+  )
+""",
+)

@@ -222,6 +222,30 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert vectors.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_of_a_dense_group_in_boxes_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BOX", 7)
+    monkeypatch.setattr(vectors, "TILE_VALUES", 16 * 40)
+    r = np.random.default_rng(8)
+    dense = r.standard_normal(16) + r.standard_normal((120, 16)) * 0.2
+    loose = r.standard_normal((130, 16))
+    x = np.float32(np.vstack([dense, loose, loose[:40] + r.standard_normal((40, 16)) * 0.2])).astype(float)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    want = brute_components({i: i for i in range(len(x))}, lambda a, b: near[a, b])
+    assert near[:120, :120].mean() > 0.4 and near[120:].any()
+    assert {g.vec_id: (g.n_links, g.component_id, g.kept) for g in got} == {i: (near[i].sum(), want[i], want[i] == i) for i in range(len(x))}
+
+
+def test_boxes_hold_every_row_once():
+    points = np.random.default_rng(1).standard_normal((1000, 8))
+    boxes = list(vectors._boxes(points))
+    assert sorted(np.concatenate(boxes).tolist()) == list(range(1000)) and max(map(len, boxes)) <= vectors.BOX
+    assert [len(b) for b in vectors._boxes(np.ones((vectors.BOX + 1, 8)))] and list(map(len, vectors._boxes(points[:0]))) == [0]
+
+
 # --- mixing ---
 
 
