@@ -46,6 +46,8 @@ MISS = 1.5e-4
 SLACK = 5.0
 DENSE = 512
 TILE_ROWS, TILE_BYTES, PIVOTS = 2048, 6 << 20, 16
+#: Words, of 64 bits, of the filter of keys that are wanted.
+FILTER_WORDS = 1 << 18
 _RNG = np.random.Generator(np.random.PCG64(7))
 _A = (_RNG.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1))[:, None]
 _B = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None]
@@ -177,6 +179,20 @@ def _scan(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
+def _perhaps(rows: DataFrame, key: str, wanted: DataFrame, of: str) -> DataFrame:
+    """The rows of ``rows`` whose hashed ``key`` meets a bit that a value of ``wanted``'s column ``of`` has set: all that are among them and a few more.
+
+    Only these are shuffled to meet ``wanted``. However many values there are, at most ``FILTER_WORDS`` rows of two longs are broadcast;
+    with very many of them the filter lets more rows through, which costs shuffle and changes no result.
+    """
+    word = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS))
+    bit = lambda c: F.pmod(F.shiftrightunsigned(F.xxhash64(c), 32), F.lit(64)).cast("int")
+    words = wanted.groupBy(word(of).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(of))).alias("bits_set"))
+    words = materialize(words, "key-filter")
+    met = (word(key) == F.col("word")) & (F.call_function("shiftrightunsigned", F.col("bits_set"), bit(key)).bitwiseAND(F.lit(1)) == 1)
+    return rows.join(F.broadcast(words), met, "left_semi")
+
+
 def _counted(rows: DataFrame, key: str, name: str) -> DataFrame:
     """How many of ``rows`` share each key; written, so that a hot key's rows can be split where they meet it."""
     return materialize(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("of"), "n"), name)
@@ -194,7 +210,7 @@ def _forest(first: DataFrame, trees: int, least: float) -> tuple[DataFrame, Data
     shape = ", ".join(f"{c} long" for c in _LEVELS)
     sizes = _counted(sketch.mapInArrow(tidied(lambda it: _explode(it, trees, False)), "k0 long"), "k0", "subtrees")
     rows = sketch.mapInArrow(tidied(lambda it: _explode(it, trees, True)), f"{shape}, id long, bits binary")
-    rows = materialize(rows.join(sizes, F.col("k0") == F.col("of")).drop("of"), "subtree-rows")
+    rows = materialize(_perhaps(rows, "k0", sizes, "of").join(sizes, F.col("k0") == F.col("of")).drop("of"), "subtree-rows")
     dense = rows.where(F.col("n") > DENSE)
     scanned = rows.where(F.col("n") <= DENSE).select(F.col("k0").alias("subtree"), "id", "bits", *_LEVELS)
     found, wide, now = [], None, dense.drop("n")
@@ -353,10 +369,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
         groups = wider.join(groups, F.col("id") == F.col("member"), "left").select("id", F.coalesce("g", "id").alias("g"), "wide")
     groups = groups.join(first.select(F.col("id").alias("first_id"), "n_shingles"), F.col("id") == F.col("first_id")).drop("first_id")
     groups = materialize(groups, "candidate-groups")
-    # all texts meet ids alone, in a table of a known and small size, so Spark shuffles them only where that is large; the few that remain meet the rest
-    wanted = materialize(groups.select(F.col("id").alias("wanted")).distinct(), "candidate-ids")
-    few = docs.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
-    texts = materialize(few.join(groups, F.col("doc_id") == F.col("id")).select("id", "g", "wide", "n_shingles", "text"), "candidate-texts")
+    texts = _perhaps(docs, "doc_id", groups, "id").join(groups, F.col("doc_id") == F.col("id"))
+    texts = materialize(texts.select("id", "g", "wide", "n_shingles", "text"), "candidate-texts")
     tiles = _tiles(texts, "g")
     links = materialize(_first_links(texts, tiles, percent, k), "links")
     # only a group of several tiles, or one that is wider than its candidates, can have more

@@ -201,6 +201,19 @@ def test_components_of_paths_and_hubs(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 180)}}
 
 
+def test_key_filter_keeps_every_candidate(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(-3000, 3000).select(F.col("id").alias("doc_id"))
+    groups = docs.where("pmod(doc_id, 7) = 0").select(F.col("doc_id").alias("id"))
+    want = {r.id for r in groups.collect()}
+    got = {r.doc_id for r in minhash._perhaps(docs.union(spark.sql("SELECT CAST(NULL AS long)")), "doc_id", groups, "id").collect()}
+    assert want <= got and len(got) < len(want) + 30
+    monkeypatch.setattr(minhash, "FILTER_WORDS", 2)
+    assert want <= {r.doc_id for r in minhash._perhaps(docs, "doc_id", groups, "id").collect()}
+    assert minhash._perhaps(docs, "doc_id", groups.where("false"), "id").count() == 0
+
+
 # --- embeddings ---
 
 
