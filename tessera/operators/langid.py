@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.numeric import pearson
+from tessera.operators import counting, ranking
+from tessera.storage import materialize
 
 #: Languages are preferred in this order where scores tie; others follow by name.
 PREFERENCE = ("en", "fr", "it")
@@ -14,7 +16,7 @@ PREFERENCE = ("en", "fr", "it")
 
 def profile(texts: DataFrame, key: str) -> DataFrame:
     """(key, letter, freq): relative letter frequencies."""
-    n = texts.select(key, F.explode(T.letters(F.col("text"))).alias("letter")).groupBy(key, "letter").agg(F.count("*").alias("n"))
+    n = counting.characters(texts, key, _only_letters(F.col("text"))).groupBy(key, "letter").agg(F.sum("n").alias("n"))
     total = n.groupBy(key).agg(F.sum("n").alias("total"))
     return n.join(total, key).select(key, "letter", (F.col("n") / F.col("total")).alias("freq"))
 
@@ -48,29 +50,35 @@ def by_correlation(train: DataFrame, test: DataFrame) -> DataFrame:
     return best(correlation_scores(train, test), -1.0)
 
 
-def _pairs(characters: Column) -> Column:
-    """Adjacent pairs of an array of characters."""
-    rest = F.greatest(F.size(characters) - 1, F.lit(0))
-    return F.arrays_zip(F.slice(characters, 1, rest), F.slice(characters, 2, rest)).cast("array<struct<a:string,b:string>>")
+def _only_letters(text: Column) -> Column:
+    """``T.letters`` as one string."""
+    return F.regexp_replace(F.lower(text), r"\P{L}+", "")
 
 
 def transitions(train: DataFrame) -> DataFrame:
     """(lang, a, b, p): row-normalised transition probabilities between consecutive letters, other characters left out first."""
-    pairs = train.select("lang", F.explode(_pairs(T.letters(F.col("text")))).alias("p")).groupBy("lang", "p.a", "p.b").agg(F.count("*").alias("n"))
+    pairs = counting.character_pairs(train, "lang", _only_letters(F.col("text"))).groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
+    pairs = materialize(pairs, "letter-pairs")
     rows = pairs.groupBy("lang", "a").agg(F.sum("n").alias("total"))
     return pairs.join(rows, ["lang", "a"]).select("lang", "a", "b", (F.col("n") / F.col("total")).alias("p"))
 
 
+def _expected(train: DataFrame) -> DataFrame:
+    """(a, b, lang, p) of all pairs inside each language's alphabet, p null where training has not seen the pair; grows with alphabets, not with texts."""
+    alphabet = materialize(counting.characters(train, "lang", _only_letters(F.col("text"))).groupBy("lang", "letter").agg(F.sum("n").alias("n")), "alphabet").select("lang", "letter")
+    inside = alphabet.withColumnRenamed("letter", "a").join(alphabet.withColumnRenamed("letter", "b"), "lang")
+    return inside.join(transitions(train), ["lang", "a", "b"], "left").select("a", "b", "lang", "p")
+
+
 def chain_scores(train: DataFrame, test: DataFrame) -> DataFrame:
     """(id, lang, log_p, unseen): log-probability of a text's seen pairs, and the number of pairs inside the language's alphabet that it has never seen.
 
-    The text keeps its case and its other characters; pairs with a character outside the alphabet are skipped.
+    The text keeps its case and its other characters; pairs with a character outside the alphabet are skipped. A text's pairs are counted where it is
+    read, meet a table as small as the alphabets and are summed before anything is shuffled.
     """
-    matrix = transitions(train)
-    alphabet = train.select("lang", F.explode(F.array_distinct(T.letters(F.col("text")))).alias("letter")).distinct()
-    pairs = test.select("id", F.explode(_pairs(F.split("text", ""))).alias("p")).groupBy("id", "p.a", "p.b").agg(F.count("*").alias("n"))
-    inside = pairs.join(alphabet.withColumnRenamed("letter", "a"), "a").join(alphabet.withColumnRenamed("letter", "b"), ["lang", "b"])
-    scored = inside.join(matrix, ["lang", "a", "b"], "left").groupBy("id", "lang").agg(F.coalesce(F.sum(F.col("n") * F.log("p")), F.lit(0.0)).alias("log_p"), F.coalesce(F.sum(F.when(F.col("p").isNull(), F.col("n"))), F.lit(0)).alias("unseen"))
+    pairs = counting.character_pairs(test, "id", F.col("text"))
+    expected = materialize(_expected(train), "expected-pairs")
+    scored = pairs.join(ranking.small(expected), ["a", "b"]).groupBy("id", "lang").agg(F.coalesce(F.sum(F.col("n") * F.log("p")), F.lit(0.0)).alias("log_p"), F.coalesce(F.sum(F.when(F.col("p").isNull(), F.col("n"))), F.lit(0)).alias("unseen"))
     every = test.select("id").join(F.broadcast(train.select("lang").distinct()))
     return every.join(scored, ["id", "lang"], "left").select("id", "lang", F.coalesce("log_p", F.lit(0.0)).alias("log_p"), F.coalesce("unseen", F.lit(0)).alias("unseen"))
 
