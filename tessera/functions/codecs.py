@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,6 +119,12 @@ def gamma_column(values: pd.Series) -> pd.Series:
     return values.map(lambda v: gamma_encode(int(x) for x in v))
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def vbyte_sums(data: pd.Series) -> pd.Series:
+    """The ids whose gaps are encoded, by one running sum a list."""
+    return data.map(lambda d: np.cumsum(vbyte_decode(d), dtype=np.int64))
+
+
 @F.pandas_udf(ArrayType(LongType()))
 def vbyte_values(data: pd.Series) -> pd.Series:
     return data.map(vbyte_decode)
@@ -136,12 +143,8 @@ def compress_index(lists: DataFrame, d_gaps: bool = True) -> DataFrame:
 
 def decompress_index(packed: DataFrame, d_gaps: bool = True) -> DataFrame:
     """Inverse of ``compress_index``."""
-    ids = vbyte_values("docid_bytes")
-    packed = packed.select(*[c for c in packed.columns if c not in ("docid_bytes", "freq_bytes")], ids.alias("docid"), gamma_values("freq_bytes", "df").alias("freq"))
-    if d_gaps:
-        sums = F.aggregate("docid", F.array().cast("array<long>"), lambda a, g: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + g)))
-        packed = packed.withColumn("docid", sums)
-    return packed
+    ids = vbyte_sums("docid_bytes") if d_gaps else vbyte_values("docid_bytes")
+    return packed.select(*[c for c in packed.columns if c not in ("docid_bytes", "freq_bytes")], ids.alias("docid"), gamma_values("freq_bytes", "df").alias("freq"))
 
 
 def fetch_posting(packed: DataFrame, term: str, d_gaps: bool = True) -> DataFrame:
