@@ -255,7 +255,7 @@ def result_lines_of_counts(spark, d):
     tables = _index(spark, d)
     docs = _read(spark, d, "documents")
     topics = ranking.query_terms(_read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("qid"), "text"), F.slice(T.analyzed(T.letter_words(F.col("text"))), 1, 6))
-    run = ranking.count_scores(ranking.matches(tables["postings"], topics, tables["vocab"], F.lit(1)), "daat", 20)
+    run = ranking.count_scores(ranking.matches(tables["by_doc"].drop("pos"), topics, tables["vocab"], F.lit(1)), "daat", 20)
     return ranking.result_lines(run, docs.select("doc_id", F.col("source").alias("name")))
 
 
