@@ -1,6 +1,7 @@
 """Connected components of an edge table by alternating stars.
 
-Edges are first thinned to a spanning forest inside each partition; then large-star and small-star
+Edges are first thinned to a spanning forest inside each partition. Where ``AT_ONCE`` edges or fewer are left, one task
+of bounded memory ends the job; else large-star and small-star
 rounds rewire every vertex towards the smallest vertex it can reach until nothing changes, in a
 number of rounds about logarithmic in the longest path. All state is in tables; only two counts per round reach
 the driver. A hub is an aggregated minimum and a join whose large keys Spark splits at run time.
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
 
+#: Edges (16 bytes each) that one task takes in: all of a smaller forest, or what is thinned together of a larger one.
+AT_ONCE = 1_000_000
+
 
 def roots_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest reachable index for each of 0..n-1 under the edges (a, b)."""
@@ -38,7 +42,7 @@ def roots_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(batches: Iterator[pa.RecordBatch], names: tuple[str, str] = ("a", "b")) -> Iterator[pa.RecordBatch]:
     ids_a, ids_b, held = [], [], 0
 
     def thin(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
@@ -53,13 +57,13 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids_a.append(batch.column(0).to_numpy())
             ids_b.append(batch.column(1).to_numpy())
             held += batch.num_rows
-            if held > 2_000_000:  # bounded memory: what is thinned so far goes out, as edges like any others
+            if held > 2 * AT_ONCE:  # bounded memory: what is thinned so far goes out, as edges like any others
                 a, b = thin(ids_a, ids_b)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names)
                 ids_a, ids_b, held = [], [], 0
     if ids_a:
         a, b = thin(ids_a, ids_b)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -70,6 +74,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns[:2]
     edges = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     now = materialize(edges.mapInArrow(_forest, "a long, b long"), "forest")
+    if now.count() <= AT_ONCE:  # rounds cost several shuffles each, however few the edges; thinned in one piece, every vertex has an edge to its smallest
+        return materialize(now.coalesce(1).mapInArrow(lambda it: _forest(it, ("id", "component")), "id long, component long"), "stars")
     seen = None
     while now.head(1):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

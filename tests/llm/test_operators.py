@@ -10,7 +10,8 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tessera.llm import learn, media, minhash, mixing, packing, quality, substring, toxicity, urlfilter, vectors, warc
+from tessera import storage
+from tessera.llm import components, learn, media, minhash, mixing, packing, quality, substring, toxicity, urlfilter, vectors, warc
 from tessera.llm.components import connected_components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -201,6 +202,19 @@ def test_components_of_paths_and_hubs(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 180)}}
 
 
+def test_few_edges_take_no_rounds_and_many_do(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, None), (None, 3)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    before = storage.tables_written()
+    got = connected_components(frame).collect()
+    assert storage.tables_written() == before + 2
+    monkeypatch.setattr(components, "AT_ONCE", 10)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, connected_components(frame).collect()))
+    assert storage.tables_written() > before + 4
+    assert connected_components(frame.where("a < 0")).count() == 0
+
+
 def test_key_filter_keeps_every_candidate(spark, monkeypatch):
     from pyspark.sql import functions as F
 
