@@ -1,5 +1,6 @@
 """Steps that must not grow faster than the input: what they leave out is the large intermediate table, never a row of the result."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -48,6 +49,22 @@ def test_words_are_counted_inside_documents(spark, small_slices, twice):
         assert {(r.term, r.pos) for r in got.where("doc_id = 4").collect()} == {("cc", 0), ("dd", 1), ("aa", 3)}
 
 
+def test_words_are_found_in_bytes_as_the_analysis_finds_them(spark, monkeypatch):
+    rng = random.Random(3)
+    alphabet = "abzÁáéñüÑ" + "ßàÿçİıſKœ\u0301\u00ad\U0001F600 \t\n.,-'09" + "\u0101\u20ac\u4e2d"
+    rows = [(i, "".join(rng.choice(alphabet if i % 2 else "aá b") for _ in range(rng.randrange(60)))) for i in range(300)]
+    rows += [(1000, None), (1001, ""), (1002, "ab"), (1003, "cd"), (1004, "ñ"), (1005, "ñá"), (1006, "x" * 23), (1007, "é" * 23), (1008, "é" * 24), (1009, "x" * 24 + " ok"), (1010, "end"), (1011, "É"), (1012, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    analysis = text.analyzed(text.letter_words(F.col("text")))
+    want = sorted(tuple(r) for r in counting.words_by_row(docs, analysis).collect())
+    assert len(want) > 500
+    for at_once in (1, 50, 1_000_000):
+        monkeypatch.setattr(counting, "AT_ONCE", at_once)
+        got = counting.letter_words_by_row(docs)
+        assert sorted(tuple(r) for r in got.collect()) == want
+    assert "regexp" not in plan(counting.words_by_document(docs))
+
+
 def test_term_ids_by_hashing(spark):
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
     stored = counting.words_by_document(docs, words())
