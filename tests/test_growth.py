@@ -1,6 +1,7 @@
 """Steps that must not grow faster than the input: what they leave out is the large intermediate table, never a row of the result."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -96,6 +97,29 @@ def test_hits_are_grouped_where_their_documents_are(spark):
         assert not [x for x in dealt if x.startswith("qid") and "doc_id" in x.split(")")[0]]
 
 
+def dealt_by_document(df):
+    return [int(n) for n in re.findall(r"Exchange hashpartitioning\(doc_id#\d+L?, (\d+)\), REPARTITION", plan(df))]
+
+
+@pytest.fixture
+def asked_often(spark, tmp_path):
+    """20 documents that each of 30 queries meets."""
+    spark.createDataFrame([(i, f"aa bb {'aa ' * (i % 3)}cc", "en", "s", 1) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, "aa bb cc none") for i in range(30)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["bm25_whole"])
+def test_pairs_in_a_task_do_not_grow_with_the_queries(spark, asked_often, monkeypatch, name):
+    from tessera.plans import catalogue
+
+    few = catalogue.queries()[name](spark, asked_often)
+    monkeypatch.setattr(ranking, "PAIRS_AT_ONCE", 50)
+    many = catalogue.queries()[name](spark, asked_often)
+    assert dealt_by_document(few) == [4] and dealt_by_document(many) == [12]  # 30 queries meet 20 documents each
+    assert sorted(tuple(r) for r in many.collect()) == sorted(tuple(r) for r in few.collect()) and few.count() == 30 * (10 if name == "bm25_whole" else 20)
+
+
 def test_character_pairs_are_counted_inside_texts(spark, small_slices):
     rows = [(1, "abab"), (2, "a\U0001F600a"), (3, None), (4, "x"), (5, "ab")]
     df = spark.createDataFrame(rows, "id long, text string")
