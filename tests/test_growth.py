@@ -109,7 +109,7 @@ def asked_often(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["bm25_whole"])
+@pytest.mark.parametrize("name", ["bm25_whole", "daat_count"])
 def test_pairs_in_a_task_do_not_grow_with_the_queries(spark, asked_often, monkeypatch, name):
     from tessera.plans import catalogue
 
